@@ -154,10 +154,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n words lie in a window of `width` words that starts at one of `starts`."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1) if len(starts) < 64 else np.add(d, np.bincount(starts, minlength=n + 1), out=d, casting="unsafe")
-    ends = starts + width
-    d -= np.bincount(np.minimum(ends, n), minlength=n + 1).astype(np.int32)
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(starts + width, minlength=n + 1)
     return np.cumsum(d[:n]) > 0
 
 

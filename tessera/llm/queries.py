@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, sharding, substrings
+from . import decontam, mixing, neardup, sharding, substrings, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.entropy_mix(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -39,6 +43,11 @@ def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(_table(spark, sf_dir, "documents"))
 
 
+def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(_table(spark, sf_dir, "pages"))
+    return archive.records(payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
@@ -47,4 +56,19 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+_LIKE = " OR ".join(f"(host LIKE '{h.replace('*', '%')}' AND path LIKE '{p.replace('*', '%')}')" for h, p in urlfilter.BLOCKED)
+SQL: dict[str, str] = {
+    # '_' in no pattern: LIKE is exact here
+    "op1_shift_and": f"""
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')) t(rule, verdict, rh, rp)),
+fits AS (
+  SELECT p.page_id, p.host, p.path, r.rule, r.verdict FROM parts p LEFT JOIN rules r
+  ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp)),
+best AS (SELECT *, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST, rule) AS k FROM fits)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_LIKE} THEN 'block' ELSE 'allow' END) AS verdict FROM best WHERE k = 1""",
+}

@@ -70,3 +70,8 @@ def local_path(uri: str) -> str:
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns of any name never reach the operators' own ones."""
     return df.select(*[df[n] for n in names])
+
+
+def ascii_lower(col: Column) -> Column:
+    """A-Z only, unlike lower()."""
+    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, sharding, substrings, urlfilter, warc
+from . import decontam, mixing, neardup, perplexity, sharding, substrings, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.perplexity_bands(_table(spark, sf_dir, "documents"))
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.entropy_mix(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, perplexity, sharding, substrings, urlfilter, warc
+from . import decontam, mixing, neardup, perplexity, sharding, substrings, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_toxic_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.fold_of(F.col("doc_id"), 5) == 0
+    rows = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("z").alias("log_ratio"))
+
+
 def op5_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
     return rows.select("doc_id", "n_shingles", "component_id", "kept", "n_links")

@@ -31,6 +31,7 @@ WIDTH = 13
 GRAM = 5
 BLOCK_WINDOWS = 2_000_000
 ship(k.__name__)
+ship(__name__)
 
 
 def _item_windows(width: int, gram: int):

@@ -32,7 +32,16 @@ LOWER[65:91] += 32
 _random = np.random.default_rng(20240607)
 BYTE_CODE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Cache(dict):
+    """A worker's own cache: pickled empty, as this module travels by value."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = Cache()
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

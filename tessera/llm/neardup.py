@@ -42,6 +42,7 @@ XOR = _seed.integers(0, 2**63, COMPONENTS, dtype=np.uint64)
 ODD = _seed.integers(0, 2**63, COMPONENTS, dtype=np.uint64) | np.uint64(1)
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 ship(k.__name__)
+ship(__name__)
 
 
 def _shingles(w: k.Words, width: int) -> tuple[np.ndarray, np.ndarray]:

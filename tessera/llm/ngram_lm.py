@@ -198,7 +198,7 @@ class Arrays:
         return out
 
 
-_opened: dict[str, Arrays] = {}
+_opened: dict[str, Arrays] = k.Cache()
 
 
 def opened(folder: str, shards: list[tuple[int, str]]) -> Arrays:

@@ -34,6 +34,7 @@ WIDTH = 50
 GRAM = 10
 NOTHING = hashlib.sha256(b"").digest()
 ship(k.__name__)
+ship(__name__)
 
 
 def _blocks(w: k.Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -3,8 +3,8 @@
 One scan counts the byte n-grams of all texts, those of labelled texts also by class. The whole corpus gives one
 modified Kneser-Ney model, the shared backoff; each class's model discounts its own counts and gives the freed mass to
 the shared model, so an expression that a class has seen rarely or never keeps the odds of the language at large.
-A text's statistic is the difference of its mean log-likelihoods (bits a byte) under both class models; a logistic
-curve, fitted on labelled texts that the counts have not seen, turns it into a score.
+A text's statistic is the difference of its mean log-likelihoods (bits a byte) under both class models, each n-gram's
+share shrunk by how surely the classes differ in it; a logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
 
 Labels are a sample of at most LABELS rows, those with the least hashes of their ids; every fifth of them (by crc32)
 is held back from the counts to fit the curve. Everything else, counts of the shared model included, covers all rows.
@@ -29,6 +29,9 @@ from .shared import materialise, own_columns, ship
 
 #: Most labels learnt from (9 bytes each in the broadcast).
 LABELS = 500_000
+#: A log-ratio is shrunk by 1 - (KAPPA / its standard score) ** 2, to nothing below KAPPA: chance differences of the
+#: many ordinary n-grams would else outweigh the few telling ones of a long text.
+KAPPA = 5.0
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -106,7 +109,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
     for c in ("n0", "n1"):
         level = counts.select(F.lit(0).cast("long").alias("grp"), "gram", F.col(c).alias("n"))
         classes.append(lm.interpolate(level, shared, F.shiftright("gram", 8), F.col("gram")).select("gram", F.col("p").alias(c)))
-    ratio = classes[0].join(classes[1], "gram").select(F.col("gram").alias("key"), F.log2(F.col("n1") / F.col("n0")).alias("value"))
+    # how surely the classes differ in this n-gram, given its context: the squared standard score of the toxic count
+    by_context = counts.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    sure = counts.withColumn("ctx", F.shiftright("gram", 8)).join(by_context, "ctx").withColumn("pool", (F.col("n0") + F.col("n1")) / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)))
+    variance = F.col("t0") * F.col("t1") / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)) * F.col("pool") * (1 - F.col("pool"))
+    sure = sure.select("gram", F.when(variance > 0, F.pow(F.col("n1") - F.col("t1") * F.col("pool"), 2) / variance).otherwise(0.0).alias("z2"))
+    shrink = F.greatest(F.lit(0.0), 1 - KAPPA**2 / F.greatest(F.col("z2"), F.lit(1e-9)))
+    ratio = classes[0].join(classes[1], "gram").join(sure, "gram").select(F.col("gram").alias("key"), (F.log2(F.col("n1") / F.col("n0")) * shrink).alias("value")).filter("value <> 0")
     folder, shards = lm.save_arrays(ratio, "toxicity-model")
     scored = materialise(texts.mapInArrow(_score(folder, shards), f"doc_id {kind}, z double"), "toxicity")
     fit = held if held.any() else np.ones(len(ids), bool)

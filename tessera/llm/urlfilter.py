@@ -32,6 +32,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Host and path globs of what is blocked where no domain rule fits.
 BLOCKED = (("ads.*", "*"), ("*.ads.*", "*"), ("*", "*/ads/*"), ("*", "*/track*.gif"), ("*", "*/login*"), ("*", "*/cgi-bin/*"), ("*", "*.exe"), ("*casino*", "*"))
 ship(k.__name__)
+ship(__name__)
 
 
 class Automaton:

@@ -15,7 +15,8 @@ are fetched. So each candidate pair is either confirmed, refuted, or needless be
 
 Defined cases: null, empty and wordless texts have the empty set and are linked with nothing; a text of fewer words
 than a shingle has its whole word sequence as its one shingle; repeated rows are in one class; an empty table gives
-no rows; other columns are ignored. Component ids are the smallest doc_id of the class.
+no rows; other columns are ignored; of rows that share a doc_id but not a text, one text stands for the id where links
+are confirmed. Component ids are the smallest doc_id of the class.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ PER_CHUNK = 4
 LANE = 16
 COMPONENTS = CHUNKS * PER_CHUNK
 #: Pairs that differ in more components aren't fetched: at similarity 0.8 the odds of more than this are below 1e-7.
-MOST_DIFFERENT = 20
+MOST_DIFFERENT = 18
+#: Shingles (8 bytes each) in a block of sets to be compared.
+BLOCK = 500_000
 _seed = np.random.default_rng(811)
 XOR = _seed.integers(0, 2**63, COMPONENTS, dtype=np.uint64)
 ODD = _seed.integers(0, 2**63, COMPONENTS, dtype=np.uint64) | np.uint64(1)
@@ -118,16 +121,60 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (_differing(a, b) <= MOST_DIFFERENT)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+def _met(percent: int):
+    """Of a group's pairs (a, b), those whose sets reach the threshold; the right table has the group's sets."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        none = pa.table({"a": pairs.column("a").slice(0, 0), "b": pairs.column("b").slice(0, 0)})
+        if not pairs.num_rows:
+            return none
+        hashes = sets.column("hashes").combine_chunks()
+        place = {x: i for i, x in enumerate(sets.column("id").to_pylist())}
+        values, edge = hashes.values.to_numpy().view(np.uint64), hashes.offsets.to_numpy()  # sorted as unsigned numbers
+        a = np.array([place[x] for x in pairs.column("a").to_pylist()])
+        b = np.array([place[x] for x in pairs.column("b").to_pylist()])
+        order = np.argsort(a, kind="stable")
+        turn = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1])))
+        good = np.zeros(len(a), bool)
+        for lo, hi in zip(turn, np.append(turn[1:], len(a))):
+            own = values[edge[a[order[lo]]] : edge[a[order[lo]] + 1]]
+            for i in range(lo, hi, 256):  # at most 256 partners' sets side by side
+                which = order[i : min(i + 256, hi)]
+                parts = [values[edge[j] : edge[j + 1]] for j in b[which]]
+                sizes = np.array([len(x) for x in parts])
+                x = np.concatenate(parts)
+                at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                met = np.add.reduceat((own[at] == x).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+                good[which] = met * 100 >= (len(own) + sizes - met) * percent
+        kept = pa.array(np.flatnonzero(good))
+        return pa.table({"a": pairs.column("a").combine_chunks().take(kept), "b": pairs.column("b").combine_chunks().take(kept)})
+
+    return run
+
+
+def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+
+    Sets don't travel with pairs but with blocks: the members of a family (a component of the candidate pairs) are
+    dealt into blocks of about BLOCK shingles, small families share a block, and the pairs of two blocks are one group,
+    to which each set goes once. So a set is sent once per block of its family, not once per pair.
+    """
     pairs = materialise(pairs, f"pairs-{name}")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    own = ids.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "text")
-    sets = materialise(own.mapInArrow(_sets(width), f"id {kind}, hashes array<long>"), f"sets-{name}")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    met = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("met"))
-    return materialise(met.filter(F.col("met") * 100 >= (F.col("na") + F.col("nb") - F.col("met")) * percent).select("a", "b").distinct(), f"links-{name}")
+    families = components(pairs)
+    member = families.join(sizes, "id")
+    weight = member.groupBy("component").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
+    small = weight.filter("blocks = 1").agg(F.sum("w")).first()[0] or 0
+    packs = max(1, int(small // BLOCK))
+    member = member.join(weight, "component").select("id", (F.col("blocks") > 1).alias("big"), F.when(F.col("blocks") > 1, F.col("component").cast("long")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("g"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    member = materialise(member, f"blocks-{name}")
+    other = member.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
+    grouped = pairs.join(member.withColumnRenamed("id", "a"), "a").join(other, "b").select("a", "b", "big", "g", F.least("block", "block_b").alias("lo"), F.greatest("block", "block_b").alias("hi"))
+    grouped = materialise(grouped, f"grouped-{name}")
+    group = ["big", "g", "lo", "hi"]
+    wanted = grouped.select(*group, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(*[F.col(g).alias(f"of_{g}") for g in group], "id", "hashes")
+    kind = pairs.schema["a"].dataType.simpleString()
+    met = grouped.groupBy(*group).cogroup(wanted.groupBy(*[f"of_{g}" for g in group])).applyInArrow(_met(percent), f"a {kind}, b {kind}")
+    return materialise(met.distinct(), f"links-{name}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -145,10 +192,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     leads = entered.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").drop("last")
     members = materialise(entered.join(leads, "key"), "members")
     info = nodes.select("id", "n", *SIGNATURE)
+    sizes = nodes.select("id", "n")
+    # the sets of all that share a key with another: the only time that texts are shuffled
+    own = members.select("id").distinct().join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "text")
+    sets = materialise(own.mapInArrow(_sets(width), f"id {kind}, hashes array<long>").dropDuplicates(["id"]), "sets")
     side = lambda p, name: info.select(F.col("id").alias(name), F.col("n").alias(p + "n"), *[F.col(s).alias(p + s) for s in SIGNATURE])
     star = members.filter("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(side("a_", "a"), "a").join(side("b_", "b"), "b").filter(_possible("a_", "b_", percent)).select("a", "b")
-    links = _confirm(star, texts, width, percent, "star")
+    links = _confirm(star, sizes, sets, percent, "star")
     labels = components(links)
     # keys that are not settled: their members across components
     placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -158,7 +209,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("b_n"), *[F.col(s).alias("b_" + s) for s in SIGNATURE])
     across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("a_", "b_", percent)).select("a", "b").distinct()
     across = across.join(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = _confirm(across, texts, width, percent, "across")
+    more = _confirm(across, sizes, sets, percent, "across")
     every = links.unionByName(more)
     final = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))

@@ -78,8 +78,8 @@ def _tilts(hist: DataFrame, goal: DataFrame, cap: float) -> DataFrame:
 
 
 def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken of every row of docs."""
-    facts = own_columns(docs, "doc_id", "text", "source").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    """doc_id, key (hash of the text), source, size, source_size, target, rate, copies, taken of every row of docs."""
+    facts = own_columns(docs, "doc_id", "text", "source").select("doc_id", F.xxhash64("text").alias("key"), "source", n_words(F.col("text")).alias("size"))
     facts = facts.withColumn("cell", size_cell(F.col("size"))).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(SUBCELLS)).cast("int"))
     facts = materialise(facts, "mix-facts")
     counts = materialise(facts.groupBy("source", "cell", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
@@ -100,9 +100,9 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     sums = runs.groupBy("source").agg(*[F.sum(offset((i + 0.5) / OFFSETS)).alias(f"o{i}") for i in range(OFFSETS)])
     best = sums.join(k, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", F.array_min(F.array(*[F.struct(F.abs(F.col(f"o{i}") - F.col("target")).alias("miss"), F.lit((i + 0.5) / OFFSETS).alias("u")) for i in range(OFFSETS)]))["u"].alias("u"))
     first = runs.alias("r").join(best, F.col("r.source").eqNullSafe(F.col("s"))).select(F.col("r.source").alias("s"), F.col("cell").alias("ce"), F.col("sub").alias("su"), "rate", "start", "u", "source_size", "target")
-    within = Window.partitionBy("source", "cell", "sub").orderBy("doc_id", "size")
+    within = Window.partitionBy("source", "cell", "sub").orderBy("doc_id", "size", "key")
     ranked = facts.withColumn("rn", F.row_number().over(within))
     joined = ranked.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("ce")) & (F.col("sub") == F.col("su")))
     at = lambda rn: F.floor(F.col("start") + rn * F.col("rate") + F.col("u"))
     copies = F.when(F.col("rate") >= cap, F.lit(cap)).otherwise(F.least(at(F.col("rn")) - at(F.col("rn") - 1), F.lit(cap))).cast("int")
-    return joined.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return joined.select("doc_id", "key", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs_ratio(a: str, b: str) -> float:
@@ -46,18 +47,18 @@ def weighted_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lookup_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
@@ -83,7 +84,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("text", T.StringType())))
 def sentences(text: pd.Series) -> pd.Series:
     """CHK7."""
     return text.map(lambda t: [{"start": a, "end": b, "text": t[a:b].strip()} for a, b in sentence_spans(t)] if t else [])
@@ -115,7 +116,7 @@ def hash_embedding(text: str, size: int = 64) -> list[float]:
 def embedder(model: Callable[[list[str]], list[list[float]]] | None = None) -> Callable[[Column], Column]:
     """RET1: a batch embedding UDF; the hashing embedder unless a model is plugged in."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(text: pd.Series) -> pd.Series:
         texts = text.fillna("").tolist()
         return pd.Series(model(texts) if model else [hash_embedding(t) for t in texts])
@@ -126,7 +127,7 @@ def embedder(model: Callable[[list[str]], list[list[float]]] | None = None) -> C
 def scorer(model: Callable[[list[tuple[str, str]]], list[float]] | None = None) -> Callable[[Column, Column], Column]:
     """RET6: a re-ranking UDF; word overlap (share of the question's words in the passage) unless a model is plugged in."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(question: pd.Series, passage: pd.Series) -> pd.Series:
         pairs = list(zip(question.fillna(""), passage.fillna("")))
         if model:

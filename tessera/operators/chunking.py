@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import udfs
+from ..functions.udfs import sentences as split_sentences
+from ..functions.udfs import snapped
 
 SIZE, OVERLAP, SLIVER = 500, 100, 50
 
@@ -44,9 +46,9 @@ def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, snap:
     return _number(cut, "fixed").select("doc", "chunk_id", "chunk_index", "start", "end", "n_chars", "strategy", "text")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _snap(text: pd.Series, at: pd.Series) -> pd.Series:
-    return pd.Series([udfs.snapped(t, int(a)) for t, a in zip(text, at)], dtype="int32")
+    return pd.Series([snapped(t, int(a)) for t, a in zip(text, at)], dtype="int32")
 
 
 def page_of(offset: Column, spans: Column) -> Column:
@@ -128,4 +130,4 @@ def chunk_corpus(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """CHK7: doc, sent_index, start, end, sentence."""
-    return docs.select("doc", F.posexplode(udfs.sentences("text")).alias("sent_index", "s")).select("doc", "sent_index", "s.start", "s.end", F.col("s.text").alias("sentence"))
+    return docs.select("doc", F.posexplode(split_sentences("text")).alias("sent_index", "s")).select("doc", "sent_index", "s.start", "s.end", F.col("s.text").alias("sentence"))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.udfs import nfkc
@@ -50,7 +51,7 @@ def reference_span(text: str, share: float = 0.3) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@F.pandas_udf(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
 def reference_spans(text: pd.Series) -> pd.DataFrame:
     spans = [reference_span(x) if x else None for x in text]
     return pd.DataFrame({"start": pd.array([s[0] if s else None for s in spans], "Int32"), "end": pd.array([s[1] if s else None for s in spans], "Int32")})

@@ -4,18 +4,660 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import chunking, cleaning, corpus, evaluation, extraction, graph, retrieval
+from ..sources.tables import html_documents
+from . import fixtures, tpch
+from .tpch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: a batch of questions through vector and graph retrieval, fusion, near-duplicate removal and re-ranking."""
+    return hybrid_evidence(spark, sf_dir)
+
+
+# --- vectors ----------------------------------------------------------------------------------------------------
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of searches: every id divisible by 100."""
+    return _index(spark, sf_dir).filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+
+
+_NEAREST = """
+SELECT qid, id, score, CAST(k - 1 AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM (
+    SELECT q.vec_id AS qid, e.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+    FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 {where})) WHERE k <= 10"""
+
+
+@query(_NEAREST.format(where=""))
+def vector_topk(spark, sf_dir):
+    """TOP1, RET2, WIN1."""
+    return retrieval.vector_topk(_asked(spark, sf_dir), _index(spark, sf_dir))
+
+
+@query(_NEAREST.format(where="AND e.label = 3"))
+def vector_topk_filtered(spark, sf_dir):
+    """FLT15."""
+    return retrieval.vector_topk(_asked(spark, sf_dir), _index(spark, sf_dir), where=F.col("label") == 3)
+
+
+@query("""
+SELECT q.label AS label_a, e.label AS label_b, count(*) AS n,
+  round(avg(round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6)), 4) AS similarity
+FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY ALL""")
+def similarity_matrix(spark, sf_dir):
+    """RET3: mean similarity by label, of the query set against all rows."""
+    rows, asked = _index(spark, sf_dir), _index(spark, sf_dir).filter(F.col("id") % 100 == 0).select(F.col("vec").alias("qvec"), F.col("label").alias("label_a"))
+    score = F.round(t.cosine(F.col("qvec"), F.col("vec")), 6)
+    return rows.join(F.broadcast(asked), F.lit(True)).groupBy("label_a", F.col("label").alias("label_b")).agg(F.count("*").alias("n"), F.round(F.avg(score), 4).alias("similarity"))
+
+
+# --- cleaning ---------------------------------------------------------------------------------------------------
+
+_LINES = """lines AS (
+  SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM conversations)"""
+_FP = r"regexp_replace(regexp_replace(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')"
+_NUMBER = r"regexp_matches(line, '(?i)^\s*(page\s+)?[-\[(]?\s*[0-9]{1,4}\s*(of\s+[0-9]{1,4})?\s*[-\])]?\s*$')"
+_REPEATING = f"""edges AS (
+  SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY line_no) AS top, row_number() OVER (PARTITION BY doc, page ORDER BY line_no DESC) AS bottom
+  FROM lines WHERE trim(regexp_replace(line, '\\s+', ' ', 'g')) <> ''),
+total AS (SELECT conv_id AS doc, count(*) AS pages FROM conversations GROUP BY 1),
+repeating AS (
+  SELECT doc, fp, count(*) AS n_pages FROM (SELECT DISTINCT doc, page, {_FP} AS fp FROM edges WHERE top <= 3 OR bottom <= 3) GROUP BY 1, 2),
+heads AS (SELECT r.doc, r.fp, r.n_pages FROM repeating r JOIN total t ON r.doc = t.doc WHERE pages >= 3 AND n_pages >= greatest(3, floor(pages * 0.5)))"""
+
+
+@query(r"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE """ + _NUMBER + r""") AS n_page_numbers
+FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY 1""")
+def page_number_lines(spark, sf_dir):
+    """FLT1."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(t.is_page_number(F.col("line"))).alias("n_page_numbers"))
+
+
+@query(f"WITH {_LINES}, {_REPEATING} SELECT doc, fp, n_pages FROM heads")
+def repeating_lines(spark, sf_dir):
+    """FLT2, FLT3, AGG1."""
+    return cleaning.repeating_lines(tpch.conversation_pages(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES}, {_REPEATING},
+kept AS (SELECT * FROM lines l WHERE NOT {_NUMBER} AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc = l.doc AND h.fp = {_FP}))
+SELECT c.conv_id AS doc, CAST(c.turn + 1 AS INTEGER) AS page, coalesce(k.text, '') AS text FROM conversations c
+LEFT JOIN (SELECT doc, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM kept GROUP BY 1, 2) k ON c.conv_id = k.doc AND c.turn + 1 = k.page""")
+def without_running_heads(spark, sf_dir):
+    """FLT4."""
+    pages = tpch.conversation_pages(spark, sf_dir)
+    return cleaning.drop_lines(pages, cleaning.repeating_lines(pages))
+
+
+@query()
+def clean_pages(spark, sf_dir):
+    """FLT5-FLT9, whole pipeline."""
+    return cleaning.clean_pages(tpch.conversation_pages(spark, sf_dir))
+
+
+@query()
+def reference_sections(spark, sf_dir):
+    """FLT5: spans of reference sections."""
+    rows = fixtures.papers(spark)
+    return rows.select("doc", cleaning.reference_spans("text").alias("s")).select("doc", "s.start", "s.end")
+
+
+@query()
+def reading_order(spark, sf_dir):
+    """SRC3."""
+    return cleaning.reading_order(fixtures.blocks(spark))
+
+
+@query(r"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE useful) AS n_useful FROM (
+  SELECT doc_id, len(w) BETWEEN 10 AND 100 AND length(regexp_replace(line, '[^\p{L}]', '', 'g')) / greatest(length(line), 1) >= 0.6
+    AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{Ll}+$'))) >= 4 AND NOT regexp_matches(line, '(\b[0-9]+\.?[0-9]*\s+){4,}') AS useful
+  FROM (SELECT *, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS w
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))) GROUP BY 1""")
+def useful_sentences(spark, sf_dir):
+    """FLT10."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(t.is_useful_sentence(F.col("line"))).alias("n_useful"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in t.STOP_ENTITIES)
+_NAMES = "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer UNION SELECT p_name FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT unnest(string_split(text, ' ')) FROM benchmark"
+
+
+@query(rf"""
+WITH keys AS (SELECT name, {tpch.norm_sql('name')} AS key FROM ({_NAMES})),
+parts AS (SELECT *, list_filter(string_split(key, ' '), lambda x: x <> '') AS tokens FROM keys)
+SELECT name, key, length(key) BETWEEN 2 AND 80 AND key NOT IN ({_STOP}) AND regexp_matches(key, '\p{{L}}')
+  AND (length(key) - length(regexp_replace(key, '[0-9]', '', 'g'))) * 2 <= length(key) AND len(tokens) <= 8
+  AND NOT (len(list_filter(tokens, lambda x: length(x) > 2)) = 0 AND NOT contains(key, 'et al')) AND NOT regexp_matches(key, '[=+<>∑∏√≤≥±×∈∀∃]')
+  AND NOT (len(tokens) > 1 AND len(list_distinct(tokens)) = 1) AS valid FROM parts""")
+def entity_validity(spark, sf_dir):
+    """FLT11 and the entity key."""
+    cols = [("nation", "n_name"), ("region", "r_name"), ("supplier", "s_name"), ("customer", "c_name"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type")]
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name"))
+    for n, c in cols:
+        names = names.unionByName(table(spark, sf_dir, n).select(F.col(c).alias("name")))
+    return names.distinct().select("name", t.normalise_entity(F.col("name")).alias("key"), t.is_valid_entity(F.col("name")).alias("valid"))
+
+
+@query(r"""
+WITH h AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{x}')" for i, x in enumerate(fixtures.HEADINGS)) + r""") v(id, line)),
+b AS (SELECT *, trim(lower(regexp_replace(trim(line), '^[0-9]+(\.[0-9]+)*\.?\s+', '')), ' .:') AS bare FROM h)
+SELECT id, line, length(trim(line)) BETWEEN 3 AND 70 AND NOT (regexp_matches(trim(line), '[.,;:]$') AND NOT regexp_matches(trim(line), '^[0-9]'))
+  AND (bare IN (""" + ", ".join(f"'{x}'" for x in t.HEADINGS) + r""") OR (regexp_matches(trim(line), '^[0-9]+(\.[0-9]+)*\.?\s+[A-Z]')
+  AND len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '')) <= 8)) AS heading FROM b""")
+def headings(spark, sf_dir):
+    """FLT19."""
+    return fixtures.headings(spark).select("id", "line", t.is_heading(F.col("line")).alias("heading"))
+
+
+@query()
+def html_texts(spark, sf_dir):
+    """HTML pages as documents."""
+    return html_documents(table(spark, sf_dir, "pages"))
+
+
+# --- chunking ---------------------------------------------------------------------------------------------------
+
+_CHUNKS = """chunks AS (
+  SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY s) - 1 AS INTEGER) AS chunk_index, s AS start, s + length(body) AS stop, body FROM (
+    SELECT doc_id AS doc, s, substring(text, s + 1, 500) AS body FROM (
+      SELECT doc_id, text, CAST(unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 500) / 400) AS BIGINT)) * 400, 400)) AS BIGINT) AS s FROM documents WHERE length(text) > 0))
+  WHERE length(trim(body)) >= 50)"""
+
+
+@query(f"""WITH {_CHUNKS} SELECT doc, doc || '::fixed::' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') AS chunk_id, chunk_index,
+  CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", length(body) AS n_chars, md5(body) AS text_md5 FROM chunks""")
+def chunks_fixed(spark, sf_dir):
+    """CHK2, CHK6, FLT14, WIN12."""
+    rows = chunking.chunk_fixed(tpch.docs(spark, sf_dir))
+    return rows.select("doc", "chunk_id", "chunk_index", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_chars").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def chunks_snapped(spark, sf_dir):
+    """CHK3."""
+    return chunking.chunk_fixed(tpch.docs(spark, sf_dir), snap=True)
+
+
+@query()
+def chunks_semantic(spark, sf_dir):
+    """CHK4, CHK5."""
+    return chunking.chunk_semantic(tpch.docs(spark, sf_dir))
+
+
+@query()
+def sentences(spark, sf_dir):
+    """CHK7."""
+    return chunking.sentences(tpch.docs(spark, sf_dir))
+
+
+@query(f"""WITH {_CHUNKS} SELECT doc, count(*) AS n_chunks, round(avg(length(body)), 2) AS mean_chars, min(length(body)) AS least, max(length(body)) AS most FROM chunks GROUP BY 1""")
+def chunk_lengths(spark, sf_dir):
+    """AGG17."""
+    n = F.col("n_chars").cast("long")
+    return chunking.chunk_fixed(tpch.docs(spark, sf_dir)).groupBy("doc").agg(F.count("*").alias("n_chunks"), F.round(F.avg(n), 2).alias("mean_chars"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
+@query(f"""WITH {_CHUNKS} SELECT doc, chunk_index, CAST(lag(stop) OVER (PARTITION BY doc ORDER BY chunk_index) - start AS BIGINT) AS overlap FROM chunks""")
+def chunk_overlaps(spark, sf_dir):
+    """WIN10."""
+    rows = chunking.chunk_fixed(tpch.docs(spark, sf_dir))
+    before = F.lag("end").over(Window.partitionBy("doc").orderBy("chunk_index"))
+    return rows.select("doc", "chunk_index", (before - F.col("start")).cast("long").alias("overlap"))
+
+
+@query(f"""WITH {_CHUNKS}, c AS (SELECT c.*, source FROM chunks c JOIN (SELECT doc_id, any_value(source) AS source FROM documents GROUP BY 1) d ON c.doc = d.doc_id)
+SELECT source, strategy, count(*) AS n FROM (SELECT source, 'fixed' AS strategy FROM c) GROUP BY GROUPING SETS ((source), (strategy), ())""")
+def store_stats(spark, sf_dir):
+    """AGG7, AGG8: one pass for total, by file and by strategy."""
+    source = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("doc")).agg(F.first("source").alias("source"))
+    rows = chunking.chunk_fixed(tpch.docs(spark, sf_dir)).join(source, "doc")
+    return rows.groupingSets([["source"], ["strategy"], []], "source", "strategy").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(source, 'ALL') AS source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS raw_chars,
+  CAST(sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS BIGINT) AS clean_chars FROM documents WHERE source IS NOT NULL GROUP BY ROLLUP (source)""")
+def corpus_stats(spark, sf_dir):
+    """AGG20."""
+    clean = F.length(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return table(spark, sf_dir, "documents").filter("source is not null").rollup("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("raw_chars"), F.sum(clean).alias("clean_chars")).na.fill({"source": "ALL"})
+
+
+_MAP = """spans AS (
+  SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS page, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM conversations WHERE trim(text) <> '')"""
+
+
+@query(f'WITH {_MAP} SELECT doc, page, CAST(s AS BIGINT) AS "start", CAST(s + length(text) AS BIGINT) AS "end" FROM spans')
+def page_map(spark, sf_dir):
+    """CHK1, WIN9."""
+    return cleaning.page_map(tpch.conversation_pages(spark, sf_dir)).select("doc", "page", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(f"""WITH {_MAP}, joined AS (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, max_by(page, page) AS last FROM spans GROUP BY 1),
+cut AS (SELECT doc, last, s, substring(text, s + 1, 500) AS body FROM (
+  SELECT doc, text, last, CAST(unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 500) / 400) AS BIGINT)) * 400, 400)) AS BIGINT) AS s FROM joined)
+  WHERE length(trim(substring(text, s + 1, 500))) >= 50)
+SELECT c.doc, CAST(c.s AS BIGINT) AS "start", coalesce(p.page, c.last, 1) AS page FROM cut c LEFT JOIN spans p ON c.doc = p.doc AND p.s <= c.s AND c.s < p.s + length(p.text)""")
+def chunk_pages(spark, sf_dir):
+    """JOIN1: the page of each chunk of paged documents."""
+    joined = cleaning.join_pages(tpch.conversation_pages(spark, sf_dir))
+    rows = chunking.chunk_fixed(joined).join(joined.select("doc", "spans"), "doc")
+    return rows.select("doc", F.col("start").cast("long").alias("start"), chunking.page_of(F.col("start"), F.col("spans")).alias("page"))
+
+
+# --- graph ------------------------------------------------------------------------------------------------------
+
+
+def _valid(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    return graph.valid_triples(tpch.triples(spark, sf_dir, parts))
+
+
+def _edges(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    """Edges on keys as they are: what an identity map of canonical forms gives."""
+    return _valid(spark, sf_dir, parts).withColumnsRenamed({"s_key": "src", "o_key": "dst"}).filter("src <> dst")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = _valid(spark, sf_dir)
+    return graph.nodes_of(_edges(spark, sf_dir), graph.display_names(valid, graph.identity_canon(valid)))
+
+
+@query(f"WITH {tpch.triples_sql()} SELECT key, count(*) AS n, min(spot) AS first FROM ends GROUP BY 1")
+def entity_counts(spark, sf_dir):
+    """AGG2."""
+    return graph.entity_counts(_valid(spark, sf_dir))
+
+
+@query(f"""WITH {tpch.triples_sql()} SELECT key AS canonical, name FROM (
+  SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(spot)) AS k FROM ends GROUP BY key, name) WHERE k = 1""")
+def display_names(spark, sf_dir):
+    """AGG3."""
+    valid = _valid(spark, sf_dir)
+    return graph.display_names(valid, graph.identity_canon(valid))
+
+
+@query(f"""WITH {tpch.triples_sql()} SELECT key, array_to_string(list_sort(list_distinct(list(name))), '|') AS aliases, count(*) AS mentions,
+  array_to_string(list_sort(list_distinct(list(source_file))), '|') AS sources FROM ends WHERE edge GROUP BY 1""")
+def graph_nodes(spark, sf_dir):
+    """GRA1, AGG4, JOIN3, JOIN16."""
+    return _nodes(spark, sf_dir).select("key", F.array_join("aliases", "|").alias("aliases"), "mentions", F.array_join("sources", "|").alias("sources"))
+
+
+@query(f"WITH {tpch.triples_sql()} SELECT key, count(*) AS degree FROM ends WHERE edge GROUP BY 1 ORDER BY degree DESC, key LIMIT 25")
+def top_degrees(spark, sf_dir):
+    """AGG5, TOP5."""
+    return graph.degrees(_edges(spark, sf_dir)).orderBy(F.desc("degree"), "key").limit(25)
+
+
+@query(f"WITH {tpch.triples_sql()} SELECT relation, count(*) AS n FROM edges GROUP BY 1")
+def relation_histogram(spark, sf_dir):
+    """AGG5, TOP6."""
+    return _edges(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {tpch.triples_sql()}, n AS (SELECT count(DISTINCT key) AS n_nodes FROM ends WHERE edge), m AS (SELECT count(*) AS n_edges, count(DISTINCT relation) AS n_relations FROM edges)
+SELECT n_nodes, n_edges, n_relations, round(CASE WHEN n_nodes > 1 THEN n_edges / (n_nodes * (n_nodes - 1)) ELSE 0 END, 9) AS density FROM n, m""")
+def graph_stats(spark, sf_dir):
+    """GRA8, AGG6."""
+    edges = _edges(spark, sf_dir)
+    keys = graph.degrees(edges)
+    return graph.stats(keys, edges).withColumn("density", F.round("density", 9))
+
+
+@query(f"""WITH {tpch.triples_sql(False)}, tree AS (
+  SELECT {tpch.norm_sql('r_name')} AS root, unnest([{tpch.norm_sql('r_name')}, {tpch.norm_sql('n_name')}, {tpch.norm_sql('s_name')}, {tpch.norm_sql('c_name')}]) AS key
+  FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey)
+SELECT key, min(key) OVER (PARTITION BY root) AS component FROM (SELECT DISTINCT root, key FROM tree WHERE key IS NOT NULL)""")
+def graph_components(spark, sf_dir):
+    """AGG18: regions with their nations, suppliers and customers."""
+    return graph.components(_edges(spark, sf_dir, parts=False).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query(f"""WITH forms AS (SELECT DISTINCT {tpch.norm_sql('name')} AS key FROM (SELECT p_brand AS name FROM part UNION SELECT n_name FROM nation)),
+v AS (SELECT key, nullif(regexp_extract(key, '^(.*?)[\\s-]*v?([0-9]+(?:\\.[0-9]+)?)$', 2), '') AS version, regexp_extract(key, '^(.*?)[\\s-]*v?([0-9]+(?:\\.[0-9]+)?)$', 1) AS s FROM forms),
+w AS (SELECT key, version, CASE WHEN version IS NULL THEN key ELSE trim(s, ' -') END AS stem FROM v)
+SELECT a.key AS a, b.key AS b FROM w a JOIN w b ON a.stem = b.stem AND a.key < b.key AND a.version IS DISTINCT FROM b.version""")
+def variant_pairs(spark, sf_dir):
+    """JOIN10, JOIN11: brands differ in their number only."""
+    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+    return graph.variant_pairs(names.select(t.normalise_entity(F.col("name")).alias("canonical")))
+
+
+@query(f"""WITH {tpch.triples_sql()} SELECT src, dst, relation, count(*) AS n, array_to_string(list_sort(list_distinct(list(source_file || ' p.1'))), '; ') AS citations, '' AS sentence FROM edges GROUP BY ALL""")
+def parallel_edges(spark, sf_dir):
+    """AGG14, SNK8."""
+    return graph.parallel_edges(_edges(spark, sf_dir))
+
+
+@query(f"""WITH {tpch.triples_sql()}, names AS (SELECT key, arg_max(name, n) AS name FROM (SELECT key, name, count(*) AS n FROM ends WHERE edge GROUP BY 1, 2) GROUP BY 1)
+SELECT key, CASE WHEN regexp_matches(name, '(?i)\\bet al\\.?$|^[A-Z]\\.\\s*[A-Z][a-z]+') THEN 'PERSON'
+  WHEN regexp_matches(name, '(?i)(^|\\s)(berkeley|brain|deepmind|facebook|google|institute|labs?|meta|microsoft|mit|nvidia|openai|research|stanford|university)(\\s|$)') THEN 'ORG'
+  WHEN regexp_matches(name, '(?i)%|\\b(ap|map)\\b|accuracy|bleu|error rate|fps|score|top-?[0-9]') THEN 'METRIC'
+  WHEN regexp_matches(name, '(?i)cityscapes|coco|imagenet|jft|kitti|pascal|voc|wmt|\\b(benchmark|dataset)\\b') THEN 'DATASET'
+  WHEN regexp_matches(name, '(?i)bert|detr|gpt|net\\b|r-cnn|swin|transformer|vgg|vit\\b|yolo') THEN 'MODEL' ELSE 'CONCEPT' END AS type FROM names""")
+def entity_types(spark, sf_dir):
+    """GRA11, AGG15, AGG19 (names vote here; relations' votes are tested on fixtures)."""
+    return graph.entity_types(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@query()
+def visual_nodes(spark, sf_dir):
+    """GRA12, SNK8."""
+    return graph.visual_nodes(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+_ADJ = "adj AS (SELECT DISTINCT src AS node, dst AS nbr FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@query(f"""WITH RECURSIVE {tpch.triples_sql(False)}, {_ADJ},
+reach(start, key, hop) AS (
+  SELECT {tpch.norm_sql('r_name')}, {tpch.norm_sql('r_name')}, 0 FROM region
+  UNION SELECT r.start, a.nbr, r.hop + 1 FROM reach r JOIN adj a ON r.key = a.node WHERE r.hop < 2)
+SELECT start, key, CAST(min(hop) AS INTEGER) AS hop FROM reach GROUP BY 1, 2 HAVING min(hop) > 0""")
+def neighbourhoods(spark, sf_dir):
+    """GRA3, GRA4, JOIN7, JOIN8, WIN6: what lies within two hops of each region."""
+    starts = table(spark, sf_dir, "region").select(t.normalise_entity(F.col("r_name")).alias("start"))
+    reach = graph.neighbours(starts, _edges(spark, sf_dir, parts=False), 2, 2**31 - 1)
+    return reach.groupBy("start", "key").agg(F.min("hop").alias("hop"))
+
+
+@query()
+def neighbour_paths(spark, sf_dir):
+    """GRA3, GRA9, TOP7, D12: the paths themselves, 200 a start."""
+    starts = table(spark, sf_dir, "region").select(t.normalise_entity(F.col("r_name")).alias("start"))
+    return graph.neighbours(starts, _edges(spark, sf_dir), 2, 200).select("start", "key", "hop", "emitted", graph.format_path(F.col("path")).alias("path"))
+
+
+@query(f"""WITH RECURSIVE {tpch.triples_sql()}, {_ADJ}, n AS (SELECT {tpch.norm_sql('n_name')} AS key FROM nation),
+reach(start, key, hop) AS (SELECT key, key, 0 FROM n UNION SELECT r.start, a.nbr, r.hop + 1 FROM reach r JOIN adj a ON r.key = a.node WHERE r.hop < 4)
+SELECT r.start, r.key AS goal, CAST(min(hop) AS INTEGER) AS length FROM reach r JOIN n ON n.key = r.key WHERE r.start <> r.key GROUP BY 1, 2""")
+def shortest_paths(spark, sf_dir):
+    """GRA6: between nations."""
+    n = table(spark, sf_dir, "nation").select(t.normalise_entity(F.col("n_name")).alias("k"))
+    pairs = n.select(F.col("k").alias("start")).join(F.broadcast(n.select(F.col("k").alias("goal"))), F.col("start") != F.col("goal"))
+    return graph.shortest_paths(pairs, _edges(spark, sf_dir))
+
+
+@query()
+def neighbourhood_subgraph(spark, sf_dir):
+    """GRA7, JOIN9."""
+    return graph.subgraph("asia", _edges(spark, sf_dir), 2, 60)[1].select(*graph.EDGE)
+
+
+@query(f"""WITH {tpch.triples_sql()}, m AS (SELECT p_name AS mention, {tpch.norm_sql('p_name')} AS q FROM part UNION SELECT n_name, {tpch.norm_sql('n_name')} FROM nation UNION SELECT 'no such thing', 'no such thing')
+SELECT DISTINCT mention, key, 100.0::DOUBLE AS score FROM m JOIN ends ON q = key WHERE edge""")
+def exact_lookup(spark, sf_dir):
+    """GRA10, JOIN4, JOIN6."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("mention")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("mention"))).unionByName(spark.createDataFrame([("no such thing",)], "mention string"))
+    return graph.lookup(names.distinct(), _nodes(spark, sf_dir), fuzzy=False)
+
+
+@query()
+def fuzzy_lookup(spark, sf_dir):
+    """JOIN5: misspelt nations."""
+    names = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("x")).alias("mention"))
+    return graph.lookup(names, _nodes(spark, sf_dir))
+
+
+@query()
+def canonical_entities(spark, sf_dir):
+    """GRA2, GRA13: greedy merging over the names of nations, regions and parts."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    names = names.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord")))
+    counts = names.select(t.normalise_entity(F.col("name")).alias("key"), "ord").groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return graph.canonicalise(counts)
+
+
+# --- extraction -------------------------------------------------------------------------------------------------
+
+
+@query(fixtures.MARKUP_SQL)
+def markup_triples(spark, sf_dir):
+    """IEX1, DED1."""
+    return extraction.decode_markup(fixtures.markup(spark))
+
+
+@query()
+def rule_triples(spark, sf_dir):
+    """IEX3, IEX4, IEX7, FLT13."""
+    return extraction.extract_triples(fixtures.sentences(spark))
+
+
+@query()
+def document_triples(spark, sf_dir):
+    """IEX7, IEX8: sentences of all documents through the extractor."""
+    pages = tpch.docs(spark, sf_dir).select("doc", F.lit(1).alias("page"), "text")
+    return extraction.extract_triples(extraction.sentences_of(pages))
+
+
+@query()
+def title_blocks(spark, sf_dir):
+    """IEX5, AGG16, WIN11, TOP8."""
+    return fixtures.first_pages(spark).select("source_file", extraction.title_blocks("pages").alias("b")).select("source_file", "b.title", "b.authors")
+
+
+_TITLES = "titles(source_file, title, author) AS (VALUES ('nation', 'Nations of the world', 'Ann Lee'), ('supplier', 'Suppliers and where they are', 'Bob Ray'))"
+
+
+@query(f"""WITH {tpch.triples_sql()}, {_TITLES}, n AS (SELECT r.source_file, e.entity, count(*) AS n FROM raw r, unnest([r.subject, r.object]) e(entity) GROUP BY 1, 2),
+k AS (SELECT t.title, n.entity, n.source_file, row_number() OVER (PARTITION BY n.source_file ORDER BY n DESC, entity) AS k FROM n JOIN titles t ON n.source_file = t.source_file)
+SELECT author AS subject, 'authored' AS relation, title AS object, source_file, 'metadata' AS extractor FROM titles
+UNION ALL SELECT title, 'presents', entity, source_file, 'metadata' FROM k WHERE k <= 6""")
+def metadata_triples(spark, sf_dir):
+    """IEX6, JOIN12, WIN7."""
+    blocks = spark.createDataFrame([("nation", "Nations of the world", ["Ann Lee"]), ("supplier", "Suppliers and where they are", ["Bob Ray"])], "source_file string, title string, authors array<string>")
+    return extraction.metadata_triples(blocks, tpch.triples(spark, sf_dir))
+
+
+@query(f"WITH {tpch.triples_sql()} SELECT relation, count(*) AS n, 'domain' AS extractors, count(DISTINCT (subject, object)) AS n_pairs FROM raw GROUP BY 1")
+def extraction_stats(spark, sf_dir):
+    """AGG9."""
+    return extraction.extraction_stats(tpch.triples(spark, sf_dir))
+
+
+@query(fixtures.CUES_SQL)
+def relation_cues(spark, sf_dir):
+    """IEX13."""
+    return retrieval.relation_cues(fixtures.questions(spark))
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per query vector, about a nation: which parts and people it is tied to."""
+    asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), (F.col("vec_id") / 100 % 25).cast("int").alias("k"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    return asked.join(nation, "k").select("qid", F.concat(F.lit("Which region is "), F.lower("n_name"), F.lit(" part of, and who uses it?")).alias("question"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector hits with the documents they stand for (vector i is a chunk of document i)."""
+    hits = retrieval.vector_topk(_asked(spark, sf_dir), _index(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"), F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string")).alias("source_file"))
+    return hits.join(docs, "id", "left").select("qid", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source_file", F.lit("file")).alias("source_file"), F.lit(1).alias("page"), "score", "rank")
+
+
+_HITS_SQL = f"""hits AS (SELECT h.qid, coalesce(substring(d.text, 1, 300), '') AS text, coalesce('file' || CAST(d.doc_id % 7 AS VARCHAR), 'file') AS source_file, 1 AS page, h.score, h.rank
+  FROM ({_NEAREST.format(where='')}) h LEFT JOIN documents d ON d.doc_id = h.id)"""
+
+
+@query(f"""WITH {_HITS_SQL} SELECT qid, rank, score, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6)::DOUBLE AS normalised_score
+FROM hits WINDOW w AS (PARTITION BY qid)""")
+def normalised_scores(spark, sf_dir):
+    """WIN3."""
+    rows = retrieval.min_max(_hits(spark, sf_dir).withColumn("retrieval_method", F.lit("vector")))
+    return rows.select("qid", "rank", "score", F.round("normalised_score", 6).alias("normalised_score"))
+
+
+@query()
+def graph_evidence(spark, sf_dir):
+    """RET4, IEX11, IEX12, DED2, DED4, FLT16, WIN2, TOP3, D13."""
+    return retrieval.graph_evidence(_questions(spark, sf_dir), _nodes(spark, sf_dir), _edges(spark, sf_dir).select(*graph.EDGE))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid(_questions(spark, sf_dir), _hits(spark, sf_dir), _nodes(spark, sf_dir), _edges(spark, sf_dir).select(*graph.EDGE))
+
+
+@query()
+def hybrid_evidence(spark, sf_dir):
+    """RET5-RET7, SET1, WIN4, WIN5, DED3, TOP2, TOP3."""
+    return _hybrid(spark, sf_dir).select("qid", "final_rank", "merged_rank", "moved", "retrieval_method", "source_file", "page", F.round("normalised_score", 6).alias("normalised_score"), "rerank_score", F.array_join("also_found_by", ",").alias("also_found_by"), "path_str", "text")
+
+
+@query()
+def evidence_text(spark, sf_dir):
+    """RET8, RET9."""
+    return retrieval.format_evidence(_hybrid(spark, sf_dir))
+
+
+@query(f"WITH {_HITS_SQL} SELECT qid, source_file, page, 'vector' AS methods FROM hits GROUP BY ALL")
+def vector_citations(spark, sf_dir):
+    """AGG11, RET7: without a graph, vectors alone."""
+    merged = retrieval.merge(_hits(spark, sf_dir), spark.createDataFrame([], retrieval.EVIDENCE_SCHEMA))
+    return retrieval.citations(merged)
+
+
+@query()
+def method_mix(spark, sf_dir):
+    """AGG12."""
+    return retrieval.method_mix(_hybrid(spark, sf_dir))
+
+
+@query()
+def offline_answers(spark, sf_dir):
+    """RET10, RET11, RET14: evidence without a language model."""
+    return retrieval.answers(_questions(spark, sf_dir), retrieval.format_evidence(_hybrid(spark, sf_dir)))
+
+
+@query(r"""
+WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.item_id < b.item_id AND a.item_id % 100 = 0""")
+def word_similarity(spark, sf_dir):
+    """SET2, JOIN13: a query set of items against all."""
+    b = table(spark, sf_dir, "benchmark")
+    asked = b.filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("a"), F.col("text").alias("ta"))
+    return b.select(F.col("item_id").alias("b"), "text").join(F.broadcast(asked), F.col("a") < F.col("b")).select("a", "b", F.round(t.jaccard(F.col("ta"), F.col("text")), 6).alias("similarity"))
+
+
+# --- evaluation, corpus, chats ----------------------------------------------------------------------------------
+
+
+@query(fixtures.JUDGE_SQL)
+def judge_scores(spark, sf_dir):
+    """EVL1, EVL2."""
+    return evaluation.judge_scores(fixtures.replies(spark)).drop("reason")
+
+
+_SCORES = """s AS (SELECT CASE WHEN turn % 3 = 0 THEN 'simple' WHEN turn % 3 = 1 THEN 'medium' ELSE 'hard' END AS tier, CASE WHEN conv_id % 2 = 0 THEN 'hybrid' ELSE 'baseline' END AS system,
+  1 + length(text) % 5 AS c1, 1 + length(text) % 4 AS c2, 1 + length(text) % 3 AS c3, length(text) % 11 = 0 AS failed, conv_id % 4 AS g, turn % 5 AS v FROM conversations)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    return table(spark, sf_dir, "conversations").select(
+        F.when(F.col("turn") % 3 == 0, "simple").when(F.col("turn") % 3 == 1, "medium").otherwise("hard").alias("tier"), F.when(F.col("conv_id") % 2 == 0, "hybrid").otherwise("baseline").alias("system"),
+        *[(1 + n % m).alias(a) for a, m in zip(evaluation.AXES, (5, 4, 3))], (n % 11 == 0).alias("parse_failed"), (F.col("conv_id") % 4).alias("n_graph"), (F.col("turn") % 5).alias("n_vector"))
+
+
+@query(f"""WITH {_SCORES}, r AS (SELECT system, coalesce(tier, 'ALL') AS tier, sum(c1) FILTER (WHERE NOT failed) AS a, sum(c2) FILTER (WHERE NOT failed) AS b, sum(c3) FILTER (WHERE NOT failed) AS c,
+  count(*) FILTER (WHERE NOT failed) AS scored, count(*) FILTER (WHERE failed) AS failed, sum(g) AS g, sum(v) AS v FROM s GROUP BY GROUPING SETS ((system, tier), (system))),
+m AS (SELECT *, CASE WHEN scored > 0 THEN round(a / scored, 2) ELSE 0 END AS m1, CASE WHEN scored > 0 THEN round(b / scored, 2) ELSE 0 END AS m2, CASE WHEN scored > 0 THEN round(c / scored, 2) ELSE 0 END AS m3 FROM r)
+SELECT system, tier, m1 AS correctness, m2 AS completeness, m3 AS grounding, round((m1 + m2 + m3) / 3, 2) AS overall, scored, failed, CASE WHEN g + v > 0 THEN round(g / (g + v), 2) ELSE 0 END AS graph_share FROM m""")
+def eval_summary(spark, sf_dir):
+    """AGG13, EVL4."""
+    return evaluation.summary(_scores(spark, sf_dir))
+
+
+@query()
+def eval_deltas(spark, sf_dir):
+    """AGG13, JOIN15."""
+    return evaluation.deltas(evaluation.summary(_scores(spark, sf_dir)), "hybrid", "baseline")
+
+
+@query("""SELECT substring(sha256(coalesce(text, '')), 1, 12) AS doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS n_bytes, min(doc_id) AS ord FROM documents GROUP BY coalesce(text, '')""")
+def exact_copies(spark, sf_dir):
+    """DED5, WSP1, WSP5, JOIN14."""
+    uploads = table(spark, sf_dir, "documents").select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"), F.col("doc_id").cast("string").alias("original_name"), F.col("doc_id").alias("ord"))
+    return corpus.identified(uploads).select("doc_id", "sha256", "n_bytes", "ord")
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a manifest: labelled ones are processed, some failed."""
+    d = table(spark, sf_dir, "documents")
+    status = F.when(F.col("doc_id") % 10 == 0, "failed").when(F.col("doc_id") % 3 == 0, "pending").otherwise("processed")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), status.alias("status"), F.lit(1).alias("n_pages"), F.ceil(F.length("text") / 400).cast("int").alias("n_chunks"), F.lit(0).alias("n_triples"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("domain"))).otherwise(F.array().cast("array<string>")).alias("extractors_run"))
+
+
+@query("""SELECT count(*) AS n_docs, CAST(count(*) AS BIGINT) AS n_pages, CAST(sum(ceil(length(text) / 400)) AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_triples,
+  count(*) FILTER (WHERE doc_id % 10 = 0) AS n_failed, count(*) FILTER (WHERE doc_id % 10 <> 0 AND doc_id % 3 = 0) AS n_pending FROM documents""")
+def manifest_stats(spark, sf_dir):
+    """AGG10."""
+    return corpus.manifest_stats(_manifest(spark, sf_dir))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'pending' ELSE 'processed' END AS status FROM documents WHERE doc_id % 10 = 0 OR doc_id % 3 = 0 OR doc_id % 4 <> 0")
+def pending_documents(spark, sf_dir):
+    """FLT17."""
+    return corpus.pending(_manifest(spark, sf_dir), "domain").select("doc_id", "status")
+
+
+@query()
+def upload_names(spark, sf_dir):
+    """WSP1, WSP2: safe, unique filenames of page URLs."""
+    ups = table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("payload"), F.col("url").alias("original_name"), F.col("page_id").alias("ord"))
+    empty = spark.createDataFrame([], corpus.MANIFEST)
+    return corpus.add_documents(ups, empty).drop("added_at", "extractors_run")
+
+
+_FIRST = "first AS (SELECT conv_id AS chat_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS f FROM conversations GROUP BY 1)"
+
+
+@query(f"WITH {_FIRST} SELECT chat_id, CASE WHEN f IS NULL THEN 'New chat' WHEN length(f) > 48 THEN rtrim(substring(f, 1, 48)) || '...' ELSE f END AS title FROM first")
+def chat_titles(spark, sf_dir):
+    """CHT2, SRC11."""
+    return corpus.chat_titles(tpch.chats(spark, sf_dir))
+
+
+@query("SELECT conv_id AS chat_id, CAST(turn AS INTEGER) AS turn, role, text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
+def chat_history(spark, sf_dir):
+    """WIN8, CHT3."""
+    return corpus.history(tpch.chats(spark, sf_dir))

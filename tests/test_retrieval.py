@@ -63,8 +63,8 @@ def test_rules():
 
 
 def test_titles():
-    title, authors = extraction.title_block(["Orion: Slow Stars for\nRestless Watchers of night skies\nAnna Bell Carl Dorn University of Nowhere\n{a,b}@x.org\nEva Finch*\nAbstract\n"])
-    assert title == "Orion: Slow Stars for Restless Watchers of night skies" and authors == ["Anna Bell", "Carl Dorn", "Eva Finch"]
+    title, authors = extraction.title_block(["Orion: Slow Stars\nfor restless watchers of night skies\nAnna Bell Carl Dorn University of Nowhere\n{a,b}@x.org\nEva Finch*\nAbstract\n"])
+    assert title == "Orion: Slow Stars for restless watchers of night skies" and authors == ["Anna Bell", "Carl Dorn", "Eva Finch"]
     assert extraction.title_block([""]) == ("", []) == extraction.title_block([])
 
 

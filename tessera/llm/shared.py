@@ -29,11 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return uri.rstrip("/")
 
 
-_made: list[tuple[SparkSession, str]] = []
+#: URIs only: functions of these modules travel to the executors by value, with their modules' globals.
+_made: list[str] = []
 
 
 def _remove() -> None:
-    for spark, uri in _made:
+    spark = SparkSession.getActiveSession()
+    for uri in _made if spark else []:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(uri)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -47,7 +49,7 @@ atexit.register(_remove)
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder (not yet made) in the shared folder; removed when the driver ends."""
     uri = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, uri))
+    _made.append(uri)
     return uri
 
 

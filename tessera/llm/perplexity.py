@@ -2,7 +2,7 @@
 
 Every text is scored by its language's modified Kneser-Ney model, trained on the whole table; a text's perplexity is
 that of a byte, 2 ** (mean bits a byte). Bands are wide on purpose: a language's median of the bits a byte, MAD_WIDTH
-median absolute deviations to either side, over the texts that pass the base rules, by mergeable quantile sketches.
+median absolute deviations to either side (and three standard errors of the text's own mean), over the texts that pass the base rules, by mergeable quantile sketches.
 What is outside (too odd above; too predictable below) is rejected.
 
 Defined cases: null or empty text has no words and fails the base rules; a null language is a language of its own;
@@ -27,6 +27,8 @@ WINDOW = 8
 MAD_WIDTH = 6.0
 #: No band is narrower than this to either side, in bits a byte: short texts vary more than a language's median deviation.
 LEAST_WIDTH = 0.35
+#: Spread of a single byte's bits: bands are wider by three standard errors of a text's mean.
+BYTE_SPREAD = 2.2
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -79,7 +81,7 @@ def _score(folder: str, shards: list):
                 sums = np.zeros(len(bits) + 1)
                 np.cumsum(bits, dtype=np.float64, out=sums[1:])
                 mean = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(c) for c in counts], pa.array(mean, pa.float64(), mask=n == 0)], ["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(c) for c in counts], pa.array(mean, pa.float64(), mask=n == 0), pa.array(n)], ["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits", "n_bytes"])
 
     return run
 
@@ -88,14 +90,14 @@ ship(__name__)
 
 
 def perplexity_bands(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_failed, perplexity, its language's band (low, high) and kept, of every row."""
+    """doc_id, base counts, base_failed, perplexity, its band (low, high) and kept, of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = own_columns(docs, "doc_id", "lang", "text").select("doc_id", lm.group_code(F.col("lang")).alias("grp"), "text")
     counted = texts.select("grp", "text").mapInArrow(lm.counter(), "tag int, gram long, n long")
     counts = materialise(counted.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     model = lm.kneser_ney(counts)
     folder, shards = lm.save_arrays(model.select(F.expr(f"(grp << {lm.GRAM_BITS}) | gram").alias("key"), (-F.log2("p")).alias("value")), "perplexity-model")
-    scored = materialise(texts.mapInArrow(_score(folder, shards), f"doc_id {kind}, grp long, {BASE}, bits double"), "perplexity")
+    scored = materialise(texts.mapInArrow(_score(folder, shards), f"doc_id {kind}, grp long, {BASE}, bits double, n_bytes long"), "perplexity")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     sound = scored.filter("not base_failed")
@@ -104,6 +106,7 @@ def perplexity_bands(docs: DataFrame) -> DataFrame:
     bands = spread.groupBy("grp", "mid").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("mid")), 0.5, 10000).alias("mad"))
     half = F.greatest(MAD_WIDTH * 1.4826 * F.col("mad"), F.lit(LEAST_WIDTH))
     bands = bands.select("grp", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
-    out = scored.join(bands, "grp", "left")
+    more = 3 * BYTE_SPREAD / F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    out = scored.join(bands, "grp", "left").withColumn("low", F.col("low") - more).withColumn("high", F.col("high") + more)
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", *[c.split(" ")[0] for c in BASE.split(", ")], "base_failed", kept.alias("kept"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "low").alias("low"), F.pow(F.lit(2.0), "high").alias("high"))

@@ -4,7 +4,7 @@ One scan counts the byte n-grams of all texts, those of labelled texts also by c
 modified Kneser-Ney model, the shared backoff; each class's model discounts its own counts and gives the freed mass to
 the shared model, so an expression that a class has seen rarely or never keeps the odds of the language at large.
 A text's statistic is the difference of its mean log-likelihoods (bits a byte) under both class models, each n-gram's
-share shrunk by how surely the classes differ in it; a logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
+share shrunk by how surely the classes differ in it, the rest taken from the next shorter n-gram; a logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
 
 Labels are a sample of at most LABELS rows, those with the least hashes of their ids; every fifth of them (by crc32)
 is held back from the counts to fit the curve. Everything else, counts of the shared model included, covers all rows.
@@ -32,6 +32,8 @@ LABELS = 500_000
 #: A log-ratio is shrunk by 1 - (KAPPA / its standard score) ** 2, to nothing below KAPPA: chance differences of the
 #: many ordinary n-grams would else outweigh the few telling ones of a long text.
 KAPPA = 5.0
+#: Orders (bytes) of n-grams whose class ratios are used, the longest that is sure first.
+ORDERS = (5, 4, 3)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -85,6 +87,23 @@ def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def _evidence(counts: DataFrame, shared: DataFrame) -> DataFrame:
+    """gram, p (log2 of the classes' probabilities' ratio in its context, times sure), sure (0 to 1), of counts gram, n, n0, n1."""
+    context = F.shiftright("gram", 8)
+    classes = []
+    for c in ("n0", "n1"):
+        level = counts.select(F.lit(0).cast("long").alias("grp"), "gram", F.col(c).alias("n"))
+        classes.append(lm.interpolate(level, shared, context, F.col("gram")).select("gram", F.col("p").alias(f"p{c}")))
+    # how surely the classes differ in this n-gram, given its context: the squared standard score of the toxic count
+    totals = counts.groupBy(context.alias("ctx")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    rows = counts.withColumn("ctx", context).join(totals, "ctx").withColumn("pool", (F.col("n0") + F.col("n1")) / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)))
+    variance = F.col("t0") * F.col("t1") / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)) * F.col("pool") * (1 - F.col("pool"))
+    z2 = F.when(variance > 0, F.pow(F.col("n1") - F.col("t1") * F.col("pool"), 2) / variance).otherwise(0.0)
+    sure = F.greatest(F.lit(0.0), 1 - KAPPA**2 / F.greatest(z2, F.lit(1e-9)))
+    rows = rows.select("gram", sure.alias("sure")).join(classes[0], "gram").join(classes[1], "gram")
+    return rows.select("gram", (F.col("sure") * F.log2(F.col("pn1") / F.col("pn0"))).alias("p"), "sure")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
     """doc_id, z (the statistic) and score of every row of docs. train: which labels may be learnt from."""
     spark = docs.sparkSession
@@ -104,18 +123,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
     counted = texts.select(F.lit(0).cast("long").alias("grp"), "text", F.col("doc_id").cast("long").alias("id")).mapInArrow(lm.counter(_tagger(shown)), "tag int, gram long, n long")
     of = lambda c: F.sum(F.when(F.col("tag") == c, F.col("n")).otherwise(0))
     counts = materialise(counted.groupBy("gram").agg(F.sum("n").alias("n"), of(1).alias("n0"), of(2).alias("n1")), "gram-counts")
-    shared = lm.kneser_ney(counts.select("gram", "n"))
-    classes = []
-    for c in ("n0", "n1"):
-        level = counts.select(F.lit(0).cast("long").alias("grp"), "gram", F.col(c).alias("n"))
-        classes.append(lm.interpolate(level, shared, F.shiftright("gram", 8), F.col("gram")).select("gram", F.col("p").alias(c)))
-    # how surely the classes differ in this n-gram, given its context: the squared standard score of the toxic count
-    by_context = counts.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    sure = counts.withColumn("ctx", F.shiftright("gram", 8)).join(by_context, "ctx").withColumn("pool", (F.col("n0") + F.col("n1")) / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)))
-    variance = F.col("t0") * F.col("t1") / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)) * F.col("pool") * (1 - F.col("pool"))
-    sure = sure.select("gram", F.when(variance > 0, F.pow(F.col("n1") - F.col("t1") * F.col("pool"), 2) / variance).otherwise(0.0).alias("z2"))
-    shrink = F.greatest(F.lit(0.0), 1 - KAPPA**2 / F.greatest(F.col("z2"), F.lit(1e-9)))
-    ratio = classes[0].join(classes[1], "gram").join(sure, "gram").select(F.col("gram").alias("key"), (F.log2(F.col("n1") / F.col("n0")) * shrink).alias("value")).filter("value <> 0")
+    ratio = _evidence(counts, lm.kneser_ney(counts.select("gram", "n"))).select("gram", "p", "sure")
+    for order in ORDERS[1:]:
+        # where the longer context leaves the classes' difference open, the shorter one's word counts
+        short = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")])
+        short = materialise(short, f"counts{order}")
+        all_ = short.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"))
+        common = short.withColumn("ctx", F.shiftright("gram", 8)).join(all_, "ctx").select(F.lit(0).cast("long").alias("grp"), "gram", (F.col("n") / F.col("t")).alias("p"))
+        lower = _evidence(short, common).select(F.col("gram").alias("suf"), F.col("p").alias("p_low"), F.col("sure").alias("sure_low"))
+        ratio = ratio.withColumn("suf", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(lower, "suf")
+        ratio = ratio.select("gram", (F.col("p") + (1 - F.col("sure")) * F.col("sure_low") * F.col("p_low")).alias("p"), (F.col("sure") + (1 - F.col("sure")) * F.col("sure_low")).alias("sure"))
+    ratio = ratio.select(F.col("gram").alias("key"), F.col("p").alias("value")).filter("value <> 0")
     folder, shards = lm.save_arrays(ratio, "toxicity-model")
     scored = materialise(texts.mapInArrow(_score(folder, shards), f"doc_id {kind}, z double"), "toxicity")
     fit = held if held.any() else np.ones(len(ids), bool)

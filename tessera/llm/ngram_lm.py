@@ -31,7 +31,7 @@ PAD = 10  # a newline: texts begin as lines do
 GRAM_BITS = 8 * ORDER
 SHARD_ROWS = 4_000_000
 #: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 3_000_000
+HELD = 2_000_000
 
 
 def group_code(col: Column) -> Column:

@@ -63,7 +63,7 @@ def lookup_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-_ABBREVIATION = re.compile(r"(?:\b(?:et al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|sec|tab|dr|mr|mrs|prof|no|vol|pp|approx|resp|ref|refs|dept|univ)|\b[A-Z])\.$", re.IGNORECASE)
+_ABBREVIATION = re.compile(r"(?:\b(?:et al|e\.g|i\.e|cf|vs|fig|figs|eq|eqs|sec|tab|dr|mr|mrs|prof|no|vol|pp|approx|resp|ref|refs|dept|univ)|\b(?-i:[A-Z]))\.$", re.IGNORECASE)
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:

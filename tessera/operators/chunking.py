@@ -57,9 +57,12 @@ def page_of(offset: Column, spans: Column) -> Column:
     return F.coalesce(F.get(inside, F.lit(0))["page"], F.try_element_at(spans, F.lit(-1))["page"], F.lit(1))
 
 
+_SENTENCE_ENDS = re.compile(r"(?<=[!?.])\s+")
+
+
 def last_sentence(text: str, most: int = 250) -> str:
     """CHK5: the last sentence, its last `most` characters at most, not from within a word."""
-    tail = re.split(r"(?<=[.!?])\s+", text.strip())[-1]
+    tail = _SENTENCE_ENDS.split(text.strip())[-1]
     if len(tail) > most:
         tail = tail[-most:]
         tail = tail[tail.find(" ") + 1 :]
@@ -72,7 +75,7 @@ def _is_heading(line: str) -> bool:
     line = line.strip()
     if not 3 <= len(line) <= 70 or (line[-1] in ".,;:" and not line[0].isdigit()):
         return False
-    bare = re.sub(r"^\d+(\.\d+)*\.?\s+", "", line)
+    bare = re.sub(r"^[0-9.]*[0-9][.]?\s+", "", line)
     return bare.lower().strip(" .:") in HEADINGS or (bare != line and bare[:1].isupper() and len(line.split()) <= 8)
 
 

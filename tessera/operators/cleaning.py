@@ -37,8 +37,9 @@ def drop_lines(pages: DataFrame, repeating: DataFrame) -> DataFrame:
     return pages.select("doc", "page").join(joined, ["doc", "page"], "left").select("doc", "page", F.coalesce("text", F.lit("")).alias("text"))
 
 
-_REFERENCES = re.compile(r"^[ \t]*(?:(?:[0-9]+|[IVXLC]+)\.?[ \t]*)?(?:bibliography|works cited|references)[ \t]*$", re.I | re.M)
-_APPENDIX = re.compile(r"^[ \t]*(?:(?i:supplementary(?:[ \t]+(?:information|material))?|appendix(?:[ \t]+[A-Z0-9][\w -]{0,40})?)|[A-H]\.?[ \t]+[A-Z][A-Za-z ]{3,40})[ \t]*$", re.M)
+_BLANK = r"[\t ]"
+_REFERENCES = re.compile(rf"^{_BLANK}*(([0-9]+|[CILVX]+)[.]?{_BLANK}*)?(bibliography|works cited|references){_BLANK}*$", re.I | re.M)
+_APPENDIX = re.compile(rf"^{_BLANK}*((?i:supplementary({_BLANK}+(information|material))?|appendix({_BLANK}+[0-9A-Z][ \w-]{{0,40}})?)|[A-H][.]?{_BLANK}+[A-Z][ A-Za-z]{{3,40}}){_BLANK}*$", re.M)
 
 
 def reference_span(text: str, share: float = 0.3) -> tuple[int, int] | None:

@@ -28,7 +28,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# --- building ---------------------------------------------------------------------------------------------------
+# Building
 
 
 def valid_triples(triples: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def build(triples: DataFrame, merge: bool = True) -> tuple[DataFrame, DataFrame]
     return nodes, edges.select(*EDGE).unionByName(variants)
 
 
-# --- measures ---------------------------------------------------------------------------------------------------
+# Measures
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ SUBJECT_TYPE = {"MODEL": ("achieves", "evaluated_on", "extends", "improves_on",
 OBJECT_TYPE = {"DATASET": ("evaluated_on", "trained_on"), "METRIC": ("achieves",)}
 PROPOSED = ("creator", "designed by", "developer", "discoverer or inventor", "introduces", "proposes")
 NAME_TYPE = [
-    ("PERSON", 3, r"(?i)\bet al\.?$|^[A-Z]\.\s*[A-Z][a-z]+"),
+    ("PERSON", 3, r"(?i)\bet\s+al\b\.?$|^[a-z]\.\s*[a-z]{2}"),
     ("ORG", 2, r"(?i)(^|\s)(berkeley|brain|deepmind|facebook|google|institute|labs?|meta|microsoft|mit|nvidia|openai|research|stanford|university)(\s|$)"),
     ("METRIC", 2, r"(?i)%|\b(ap|map)\b|accuracy|bleu|error rate|fps|score|top-?[0-9]"),
     ("DATASET", 2, r"(?i)cityscapes|coco|imagenet|jft|kitti|pascal|voc|wmt|\b(benchmark|dataset)\b"),
@@ -238,7 +238,7 @@ def visual_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return drawn.select("key", "name", "type", F.coalesce("degree", F.lit(0)).alias("degree"), (12 + 5 * F.sqrt(F.coalesce("degree", F.lit(0)))).alias("size"))
 
 
-# --- look-up ----------------------------------------------------------------------------------------------------
+# Look-up
 
 
 def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bool = True) -> DataFrame:
@@ -257,7 +257,7 @@ def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bo
     return found.unionByName(scored.groupBy("mention").agg(F.max_by("key", F.struct("score", -F.col("ord"))).alias("key"), F.max("score").alias("score")))
 
 
-# --- traversal --------------------------------------------------------------------------------------------------
+# Traversal
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

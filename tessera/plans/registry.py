@@ -41,7 +41,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_evidence(spark, sf_dir)
 
 
-# --- vectors ----------------------------------------------------------------------------------------------------
+# Vectors
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def similarity_matrix(spark, sf_dir):
     return rows.join(F.broadcast(asked), F.lit(True)).groupBy("label_a", F.col("label").alias("label_b")).agg(F.count("*").alias("n"), F.round(F.avg(score), 4).alias("similarity"))
 
 
-# --- cleaning ---------------------------------------------------------------------------------------------------
+# Cleaning
 
 _LINES = """lines AS (
   SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -192,7 +192,7 @@ def html_texts(spark, sf_dir):
     return html_documents(table(spark, sf_dir, "pages"))
 
 
-# --- chunking ---------------------------------------------------------------------------------------------------
+# Chunking
 
 _CHUNKS = """chunks AS (
   SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY s) - 1 AS INTEGER) AS chunk_index, s AS start, s + length(body) AS stop, body FROM (
@@ -282,7 +282,7 @@ def chunk_pages(spark, sf_dir):
     return rows.select("doc", F.col("start").cast("long").alias("start"), chunking.page_of(F.col("start"), F.col("spans")).alias("page"))
 
 
-# --- graph ------------------------------------------------------------------------------------------------------
+# Graph
 
 
 def _valid(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
@@ -367,7 +367,7 @@ def parallel_edges(spark, sf_dir):
 
 
 @query(f"""WITH {tpch.triples_sql()}, names AS (SELECT key, arg_max(name, n) AS name FROM (SELECT key, name, count(*) AS n FROM ends WHERE edge GROUP BY 1, 2) GROUP BY 1)
-SELECT key, CASE WHEN regexp_matches(name, '(?i)\\bet al\\.?$|^[A-Z]\\.\\s*[A-Z][a-z]+') THEN 'PERSON'
+SELECT key, CASE WHEN regexp_matches(name, '(?i)\\bet\\s+al\\b\\.?$|^[a-z]\\.\\s*[a-z]{{2}}') THEN 'PERSON'
   WHEN regexp_matches(name, '(?i)(^|\\s)(berkeley|brain|deepmind|facebook|google|institute|labs?|meta|microsoft|mit|nvidia|openai|research|stanford|university)(\\s|$)') THEN 'ORG'
   WHEN regexp_matches(name, '(?i)%|\\b(ap|map)\\b|accuracy|bleu|error rate|fps|score|top-?[0-9]') THEN 'METRIC'
   WHEN regexp_matches(name, '(?i)cityscapes|coco|imagenet|jft|kitti|pascal|voc|wmt|\\b(benchmark|dataset)\\b') THEN 'DATASET'
@@ -445,7 +445,7 @@ def canonical_entities(spark, sf_dir):
     return graph.canonicalise(counts)
 
 
-# --- extraction -------------------------------------------------------------------------------------------------
+# Extraction
 
 
 @query(fixtures.MARKUP_SQL)
@@ -498,7 +498,7 @@ def relation_cues(spark, sf_dir):
     return retrieval.relation_cues(fixtures.questions(spark))
 
 
-# --- retrieval --------------------------------------------------------------------------------------------------
+# Retrieval
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -578,7 +578,7 @@ def word_similarity(spark, sf_dir):
     return b.select(F.col("item_id").alias("b"), "text").join(F.broadcast(asked), F.col("a") < F.col("b")).select("a", "b", F.round(t.jaccard(F.col("ta"), F.col("text")), 6).alias("similarity"))
 
 
-# --- evaluation, corpus, chats ----------------------------------------------------------------------------------
+# Evaluation, corpus, chats
 
 
 @query(fixtures.JUDGE_SQL)

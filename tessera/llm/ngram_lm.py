@@ -14,6 +14,7 @@ but the list of shards.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -139,7 +140,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    local = re.sub("^file:/+", "/", uri)
+    return pafs.FileSystem.from_uri(uri if "://" in local else "file://" + local)
 
 
 def _save(folder: str):

@@ -60,15 +60,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
-
-
-def local_path(uri: str) -> str:
-    """file: URI to path; other URIs stay as they are."""
-    return uri[5:].replace("//", "/", 1) if uri.startswith("file:") else uri
-
-
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns of any name never reach the operators' own ones."""
     return df.select(*[df[n] for n in names])

@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
-import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,7 +43,8 @@ _COLUMNS = [c.strip().split(" ")[0] for c in LINE.split(",")]
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    local = re.sub("^file:/+", "/", uri)
+    return pafs.FileSystem.from_uri(uri if "://" in local else "file://" + local)
 
 
 def surt(url: Column) -> Column:

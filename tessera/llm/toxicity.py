@@ -33,7 +33,7 @@ LABELS = 500_000
 #: many ordinary n-grams would else outweigh the few telling ones of a long text.
 KAPPA = 5.0
 #: Orders (bytes) of n-grams whose class ratios are used, the longest that is sure first.
-ORDERS = (5, 4, 3)
+ORDERS = (5, 4)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -93,7 +93,7 @@ def _evidence(counts: DataFrame, shared: DataFrame) -> DataFrame:
     classes = []
     for c in ("n0", "n1"):
         level = counts.select(F.lit(0).cast("long").alias("grp"), "gram", F.col(c).alias("n"))
-        classes.append(lm.interpolate(level, shared, context, F.col("gram")).select("gram", F.col("p").alias(f"p{c}")))
+        classes.append(materialise(lm.interpolate(level, shared, context, F.col("gram")).select("gram", F.col("p").alias(f"p{c}")), "class-model"))
     # how surely the classes differ in this n-gram, given its context: the squared standard score of the toxic count
     totals = counts.groupBy(context.alias("ctx")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
     rows = counts.withColumn("ctx", context).join(totals, "ctx").withColumn("pool", (F.col("n0") + F.col("n1")) / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)))
@@ -101,7 +101,8 @@ def _evidence(counts: DataFrame, shared: DataFrame) -> DataFrame:
     z2 = F.when(variance > 0, F.pow(F.col("n1") - F.col("t1") * F.col("pool"), 2) / variance).otherwise(0.0)
     sure = F.greatest(F.lit(0.0), 1 - KAPPA**2 / F.greatest(z2, F.lit(1e-9)))
     rows = rows.select("gram", sure.alias("sure")).join(classes[0], "gram").join(classes[1], "gram")
-    return rows.select("gram", (F.col("sure") * F.log2(F.col("pn1") / F.col("pn0"))).alias("p"), "sure")
+    # written out: small plans keep the driver small
+    return materialise(rows.select("gram", (F.col("sure") * F.log2(F.col("pn1") / F.col("pn0"))).alias("p"), "sure"), "evidence")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
@@ -130,6 +131,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
         short = materialise(short, f"counts{order}")
         all_ = short.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"))
         common = short.withColumn("ctx", F.shiftright("gram", 8)).join(all_, "ctx").select(F.lit(0).cast("long").alias("grp"), "gram", (F.col("n") / F.col("t")).alias("p"))
+        common = materialise(common, f"common{order}")
         lower = _evidence(short, common).select(F.col("gram").alias("suf"), F.col("p").alias("p_low"), F.col("sure").alias("sure_low"))
         ratio = ratio.withColumn("suf", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(lower, "suf")
         ratio = ratio.select("gram", (F.col("p") + (1 - F.col("sure")) * F.col("sure_low") * F.col("p_low")).alias("p"), (F.col("sure") + (1 - F.col("sure")) * F.col("sure_low")).alias("sure"))

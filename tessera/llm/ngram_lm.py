@@ -128,11 +128,11 @@ def interpolate(level: DataFrame, lower: DataFrame | None, context: Column, suff
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """grp, gram, p of every n-gram in counts (gram: with its group's bits, n)."""
+    """grp, gram, p of every n-gram in counts (gram: with its group's bits, n: 0 where only its probability is wanted)."""
     low = F.lit((1 << GRAM_BITS) - 1)
     levels = [counts.select(F.shiftright("gram", GRAM_BITS).alias("grp"), F.col("gram").bitwiseAND(low).alias("gram"), "n")]
     for order in range(ORDER - 1, 0, -1):
-        levels.append(materialise(levels[-1].groupBy("grp", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.count("*").alias("n")), f"level{order}"))
+        levels.append(materialise(levels[-1].groupBy("grp", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), f"level{order}"))
     p = None
     for order, level in zip(range(1, ORDER + 1), reversed(levels)):
         p = materialise(interpolate(level, p, F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))), f"p{order}")

@@ -1,12 +1,15 @@
 """Quality rules: base counts, and bands of n-gram perplexity for each language.
 
-Every text is scored by its language's modified Kneser-Ney model, trained on the whole table; a text's perplexity is
-that of a byte, 2 ** (mean bits a byte). Bands are wide on purpose: a language's median of the bits a byte, MAD_WIDTH
-median absolute deviations to either side (and three standard errors of the text's own mean), over the texts that pass the base rules, by mergeable quantile sketches.
+Every text is scored by a modified Kneser-Ney model of its language that has not seen it: texts are dealt into two
+folds by the hash of their bytes (copies share a fold), each fold is scored by the model of the other, and the
+whole table is counted. A text's perplexity is that of a byte, 2 ** (mean bits a byte). Bands are a language's median
+of the bits a byte, MAD_WIDTH scaled median absolute deviations to either side (and three standard errors of the
+text's own mean), over the texts that pass the base rules, by mergeable quantile sketches.
 What is outside (too odd above; too predictable below) is rejected.
 
 Defined cases: null or empty text has no words and fails the base rules; a null language is a language of its own;
-a text without bytes has no perplexity (null); repeated rows are judged one by one; an empty table gives no rows;
+a text without bytes has no perplexity (null); where the other fold has no text of a language, all bytes are equally
+likely; repeated rows are judged one by one; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -25,8 +28,8 @@ from .shared import materialise, own_columns, ship
 
 WINDOW = 8
 MAD_WIDTH = 6.0
-#: No band is narrower than this to either side, in bits a byte: short texts vary more than a language's median deviation.
-LEAST_WIDTH = 0.35
+#: Where a group has its fold: above the language's bits, the n-gram's highest.
+FOLD_BIT = 20
 #: Spread of a single byte's bits: bands are wider by three standard errors of a text's mean.
 BYTE_SPREAD = 2.2
 _SYMBOLS = np.zeros(256, bool)
@@ -92,19 +95,24 @@ ship(__name__)
 def perplexity_bands(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, perplexity, its band (low, high) and kept, of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = own_columns(docs, "doc_id", "lang", "text").select("doc_id", lm.group_code(F.col("lang")).alias("grp"), "text")
+    fold = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(2)), FOLD_BIT)
+    texts = own_columns(docs, "doc_id", "lang", "text").select("doc_id", (lm.group_code(F.col("lang")) + fold).alias("grp"), "text")
+    # the fold's bit is the one that counter() tells apart as tag
     counted = texts.select("grp", "text").mapInArrow(lm.counter(), "tag int, gram long, n long")
-    counts = materialise(counted.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
-    model = lm.kneser_ney(counts)
+    of = lambda c: F.sum(F.when(F.col("tag") == c, F.col("n")).otherwise(0)).alias(f"n{c}")
+    counts = materialise(counted.groupBy("gram").agg(of(0), of(1)), "gram-counts")
+    # a fold's model: the other fold's counts, its own n-grams with none where only it has them
+    folds = [F.struct((F.col("gram") + F.lit(f << FOLD_BIT + lm.GRAM_BITS)).alias("gram"), F.col(f"n{1 - f}").alias("n")) for f in (0, 1)]
+    model = lm.kneser_ney(counts.select(F.inline(F.array(*folds))))
     folder, shards = lm.save_arrays(model.select(F.expr(f"(grp << {lm.GRAM_BITS}) | gram").alias("key"), (-F.log2("p")).alias("value")), "perplexity-model")
     scored = materialise(texts.mapInArrow(_score(folder, shards), f"doc_id {kind}, grp long, {BASE}, bits double, n_bytes long"), "perplexity")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
+    scored = scored.withColumn("base_failed", failed).withColumn("grp", F.col("grp").bitwiseAND(F.lit((1 << FOLD_BIT) - 1)))
     sound = scored.filter("not base_failed")
     middle = sound.groupBy("grp").agg(F.percentile_approx("bits", 0.5, 10000).alias("mid"))
     spread = sound.join(middle, "grp")
     bands = spread.groupBy("grp", "mid").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("mid")), 0.5, 10000).alias("mad"))
-    half = F.greatest(MAD_WIDTH * 1.4826 * F.col("mad"), F.lit(LEAST_WIDTH))
+    half = MAD_WIDTH * 1.4826 * F.col("mad")
     bands = bands.select("grp", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
     more = 3 * BYTE_SPREAD / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     out = scored.join(bands, "grp", "left").withColumn("low", F.col("low") - more).withColumn("high", F.col("high") + more)

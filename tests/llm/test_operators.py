@@ -102,6 +102,18 @@ def test_perplexity(spark, docs, empty, rows):
     assert perplexity.perplexity_bands(empty).count() == 0
 
 
+def test_perplexity_rejects_gibberish(spark):
+    """Noise is caught whether there is little or much of it."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    noise = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(200))
+    for n_noise in (3, 60):
+        rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(200)), "en", "s", 1, 1, "x") for i in range(300)] + [(1000 + i, noise(), "en", "s", 1, 1, "x") for i in range(n_noise)]
+        got = perplexity.perplexity_bands(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+        assert not any(r["base_failed"] for r in got) and not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+        assert sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 0.97 * 300
+
+
 def test_kneser_ney_sums_to_one(spark):
     from tessera.llm import ngram_lm as lm
 

@@ -33,7 +33,7 @@ LABELS = 500_000
 #: many ordinary n-grams would else outweigh the few telling ones of a long text.
 KAPPA = 5.0
 #: Orders (bytes) of n-grams whose class ratios are used, the longest that is sure first.
-ORDERS = (5, 4)
+ORDERS = (5, 4, 3)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -180,6 +180,18 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.toxicity_scores(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_known_by_three_bytes(spark):
+    """The telling bytes have so many neighbours that no longer n-gram is sure."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["stone", "river", "cloud", "walks", "under", "green", "seven", "paper"]) for _ in range(n))
+    any_ = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz0123456789")
+    docs = spark.createDataFrame([(i, f"{say(20)} {any_()}zq{'a' if i % 4 else 'x'}{any_()} {say(20)}", "en", "s", 1, 1, "x") for i in range(400)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels, toxicity.fold_of(F.col("doc_id"), 5) != 0).collect()}
+    test = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in test) >= 0.95 * len(test)
+
+
 def classes_of(rows, width, percent):
     sets = {}
     for i, text, *_ in rows:

@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (five-word shingles, similarity 0.8), and of each repeated row."""
-    classes = neardup.near_duplicates(docs, width=5, percent=80)
+    classes = neardup.near_duplicates(docs, width=5, percent=80, count_links=False)
     # a class keeps its smallest doc_id; an id of several texts goes only if all of them are to go
     verdicts = classes.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     verdicts = materialise(verdicts.filter("not kept or n > 1"), "duplicate-verdicts")

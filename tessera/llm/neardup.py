@@ -11,7 +11,8 @@ Equal shingle sets form one node. Candidates under one key are not paired with e
 the key's smallest node only. Links found so settle most keys, as all their members fall into one component. Only
 keys whose members still lie in different components pair these members, across components, by a join that splits
 hot keys; pairs whose sizes or signatures exclude the threshold (beyond MOST_DIFFERENT components) go before the sets
-are fetched. So each candidate pair is either confirmed, refuted, or needless because its ends are already joined.
+are fetched. So each candidate pair is either confirmed, refuted, or needless for the classes because its ends are
+already joined. Where links are counted, these last pairs are confirmed, too, each under the first key that it shares.
 
 Defined cases: null, empty and wordless texts have the empty set and are linked with nothing; a text of fewer words
 than a shingle has its whole word sequence as its one shingle; repeated rows are in one class; an empty table gives
@@ -177,8 +178,8 @@ def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     return materialise(met.distinct(), f"links-{name}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (confirmed links of the row's set to others), kept, of every row."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (the row's set's links to others, if they are to be counted), kept, of every row."""
     texts = own_columns(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{s} long" for s in SIGNATURE)
@@ -187,7 +188,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = materialise(signed.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in SIGNATURE]), "nodes")
     masks = [~(0xFFFF << (16 * lane)) & ((1 << 64) - 1) for lane in range(PER_CHUNK)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(c * PER_CHUNK + lane), F.col(s).bitwiseAND(F.lit(m))) for c, s in enumerate(SIGNATURE) for lane, m in enumerate(masks)])
+    places = [(c * PER_CHUNK + lane, s, F.lit(m)) for c, s in enumerate(SIGNATURE) for lane, m in enumerate(masks)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col(s).bitwiseAND(m)) for i, s, m in places])
     entered = nodes.select("id", F.explode(keys).alias("key"))
     leads = entered.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").drop("last")
     members = materialise(entered.join(leads, "key"), "members")
@@ -212,8 +214,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = _confirm(across, sizes, sets, percent, "across")
     every = links.unionByName(more)
     final = components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     node_of = nodes.select("n", "h1", "h2", "id")
-    rows = signed.select("doc_id", "n", "h1", "h2").join(node_of, ["n", "h1", "h2"], "left").join(final, "id", "left").join(degree, "id", "left")
+    rows = signed.select("doc_id", "n", "h1", "h2").join(node_of, ["n", "h1", "h2"], "left").join(final, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")]
+    if not count_links:
+        return rows.select(*columns)
+    # pairs inside a class, as far as no step has confirmed them
+    joined = materialise(members.select("key", "id").join(final, "id").join(info, "id"), "inside")
+    half = lambda p, name: joined.select("key", "component", F.col("id").alias(name), F.col("n").alias(p + "n"), *[F.col(s).alias(p + s) for s in SIGNATURE])
+    first = F.coalesce(*[F.when(F.col("a_" + s).bitwiseAND(m) == F.col("b_" + s).bitwiseAND(m), F.xxhash64(F.lit(i), F.col("a_" + s).bitwiseAND(m))) for i, s, m in places])
+    inside = half("a_", "a").join(half("b_", "b"), ["key", "component"]).filter((F.col("a") < F.col("b")) & (F.col("key") == first) & _possible("a_", "b_", percent)).select("a", "b")
+    rest = _confirm(inside.join(every, ["a", "b"], "left_anti"), sizes, sets, percent, "inside")
+    degree = every.unionByName(rest).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    return rows.join(degree, "id", "left").select(*columns, F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -224,6 +224,16 @@ def test_near_duplicates(docs, empty, rows, width, percent):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_all_links_are_counted(spark):
+    """Near copies, each also twice as it is: every row has its set's links to all the other sets."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    family = [" ".join(base[:j] + [f"new{j}"] + base[j + 1 :]) for j in range(5, 300, 10)]
+    rows = [(i, text, "en", "s", 1, 1, "x") for i, text in enumerate([*family, *family, "alone in the world"])]
+    got = {r["doc_id"]: r["n_links"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect()}
+    assert got == {i: len(family) - 1 for i in range(2 * len(family))} | {2 * len(family): 0}
+
+
 def test_families_larger_than_a_block(docs, rows, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 700)
     want = classes_of(rows, 3, 85)

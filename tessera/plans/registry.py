@@ -511,7 +511,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector hits with the documents they stand for (vector i is a chunk of document i)."""
     hits = retrieval.vector_topk(_asked(spark, sf_dir), _index(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"), F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string")).alias("source_file"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string")).alias("source_file"))
     return hits.join(docs, "id", "left").select("qid", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source_file", F.lit("file")).alias("source_file"), F.lit(1).alias("page"), "score", "rank")
 
 

@@ -240,11 +240,14 @@ def visual_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # Look-up
 
+#: Mentions that one pass over the nodes scores.
+MENTION_BLOCK = 10_000
+
 
 def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bool = True) -> DataFrame:
     """GRA10, JOIN4-6: mention -> key, score: the key itself, else an alias (first node), else the best fuzzy match.
 
-    Fuzzy scoring is exhaustive over a stated set of mentions, in blocks of nodes, and only for mentions that nothing exact settled.
+    Fuzzy scoring is exhaustive, all nodes for each of a stated set of mentions, in blocks of mentions, and only for those that nothing exact settled.
     """
     keyed = mentions.select("mention", t.normalise_entity(F.col("mention")).alias("q"))
     alias = nodes.select(F.explode("aliases").alias("alias"), "key", "ord").withColumn("q", t.normalise_entity(F.col("alias")))
@@ -252,9 +255,13 @@ def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bo
     found = keyed.join(exact, "q").groupBy("mention").agg(F.min_by("key", F.struct("tier", "ord", "key")).alias("key")).withColumn("score", F.lit(100.0))
     if not fuzzy:
         return found
-    rest = keyed.join(found, "mention", "left_anti")
-    scored = nodes.select("key", "ord").join(F.broadcast(rest.limit(10_000)), F.lit(True)).withColumn("score", lookup_score("q", "key")).filter(F.col("score") >= least)
-    return found.unionByName(scored.groupBy("mention").agg(F.max_by("key", F.struct("score", -F.col("ord"))).alias("key"), F.max("score").alias("score")))
+    rest = checkpointed(keyed.join(found, "mention", "left_anti"))
+    blocks = max(1, -(-rest.count() // MENTION_BLOCK))
+    for b in range(blocks):
+        own = rest.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b)
+        scored = nodes.select("key", "ord").join(F.broadcast(own), F.lit(True)).withColumn("score", lookup_score("q", "key")).filter(F.col("score") >= least)
+        found = found.unionByName(scored.groupBy("mention").agg(F.max_by("key", F.struct("score", -F.col("ord"))).alias("key"), F.max("score").alias("score")))
+    return found
 
 
 # Traversal

@@ -95,3 +95,10 @@ def test_graph_round_trip(spark, built, tmp_path):
     n, e = tables.graph(spark, f"file://{tmp_path}/g")
     assert n.count() == nodes.count() and e.exceptAll(edges).count() == 0
     assert graph.stats(n, e).first()["n_edges"] == edges.count()
+
+
+def test_lookup_scores_all_mentions(spark):
+    nodes = spark.createDataFrame([("long orion nebula survey", ["long orion nebula survey"], 0)], "key string, aliases array<string>, ord bigint")
+    asked = spark.range(10_050).select(F.concat(F.lit("long orion nebula survex q"), F.col("id").cast("string")).alias("mention"))
+    found = graph.lookup(asked, nodes)
+    assert found.count() == 10_050 == found.filter("key = 'long orion nebula survey' and score < 100").select("mention").distinct().count()

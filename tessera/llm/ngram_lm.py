@@ -6,9 +6,10 @@ tasks' counts. Only the highest order is counted; the lower orders' continuation
 n-grams one order up, so they are aggregations of that table. Smoothing is joins and aggregations of the tables, too.
 
 The model is exported as arrays sorted by hash, in range shards of at most SHARD_ROWS entries, into the shared folder.
-Scoring tasks map the shards into memory (pages of the file cache, not of the heap, where the folder is a local or
-mounted path) and look up all positions of a batch by binary search. Nothing of the model passes through the driver
-but the list of shards.
+Scoring tasks look up the distinct n-grams of a batch, in order, by binary search. Where the folder is a local or
+mounted path they map the shards into memory (pages of the file cache, not of the heap); from a remote store they
+hold at most HELD_SHARDS shards at once and reread others when they are needed. Nothing of the model passes through
+the driver but the list of shards.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ GRAM_BITS = 8 * ORDER
 SHARD_ROWS = 4_000_000
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 2_000_000
+#: Shards (48 MB each) that a scoring task holds at once where it can't map them.
+HELD_SHARDS = 12
 
 
 def group_code(col: Column) -> Column:
@@ -64,8 +67,16 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def counter(tag: Callable[[pa.RecordBatch], np.ndarray] | None = None):
-    """Task: (group, text, ...) rows to (tag, gram, n). tag: a class number from 0 to 7 for each row, kept apart in the counts."""
+Counted = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def counted_grams(batch: pa.RecordBatch, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray) -> Counted:
+    """All n-grams under their text's group; the bits above them, if the group has any, become the tag."""
+    yield np.unique(grams(data, offsets, batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)), return_counts=True)
+
+
+def counter(keys: Callable[[pa.RecordBatch, int, int, np.ndarray, np.ndarray], Counted] = counted_grams):
+    """Task: (..., text) rows to (tag, gram, n): counts of what `keys` gives for a run of texts, keys of 60 bits under tags of 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -78,15 +89,10 @@ def counter(tag: Callable[[pa.RecordBatch], np.ndarray] | None = None):
                 yield pa.RecordBatch.from_arrays([pa.array((own >> np.uint64(60)).astype(np.int32)), pa.array(k.signed(own & np.uint64((1 << 60) - 1))), pa.array(counts[i : i + 200_000])], ["tag", "gram", "n"])
 
         for batch in batches:
-            group = batch.column(0).to_numpy(zero_copy_only=False)
-            tags = tag(batch) if tag else None
-            for lo, hi, data, offsets in k.slices(batch.column(1)):
-                g = grams(data, offsets, group[lo:hi])
-                if tags is not None:
-                    g |= np.repeat(tags[lo:hi].astype(np.uint64) << np.uint64(60), np.diff(offsets))
-                got = np.unique(g, return_counts=True)
-                held.append(got)
-                size += len(got[0])
+            for lo, hi, data, offsets in k.slices(batch.column(batch.num_columns - 1)):
+                for got in keys(batch, lo, hi, data, offsets):
+                    held.append(got)
+                    size += len(got[0])
                 if size > HELD:
                     held[:] = [_merge(held)]
                     size = len(held[0][0])
@@ -99,6 +105,13 @@ def counter(tag: Callable[[pa.RecordBatch], np.ndarray] | None = None):
     return run
 
 
+def discounts(n: list[int]) -> list[float]:
+    """d1, d2, d3 of counts of counts n1 to n4: what _discounts() does by group."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3)]
+    return [min(max(x, 0.05), i - 0.05) for i, x in zip((1, 2, 3), d)]
+
+
 def _discounts(level: DataFrame) -> DataFrame:
     """grp, d1, d2, d3: the modified discounts of each group from its counts of counts."""
     n = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -176,28 +189,44 @@ class Arrays:
     """Worker side of save_arrays()."""
 
     def __init__(self, folder: str, shards: list[tuple[int, str]]):
-        fs, path = _fs(folder)
+        self.fs, self.path = _fs(folder)
         self.first = np.array([f for f, _ in shards], np.int64)
-        self.shards = [tuple(self._load(fs, f"{path}/{n}-{what}.npy") for what in ("keys", "values")) for _, n in shards]
+        self.names = [n for _, n in shards]
+        self.mapped = isinstance(self.fs, pafs.LocalFileSystem)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    @staticmethod
-    def _load(fs: pafs.FileSystem, path: str) -> np.ndarray:
-        if isinstance(fs, pafs.LocalFileSystem):
+    def _load(self, path: str) -> np.ndarray:
+        if self.mapped:
             return np.load(path, mmap_mode="r")
-        with fs.open_input_file(path) as f:
+        with self.fs.open_input_file(path) as f:
             return np.load(io.BytesIO(f.read()))
 
+    def shard(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.held.pop(i, None)
+        if got is None:
+            if not self.mapped and len(self.held) >= HELD_SHARDS:
+                self.held.pop(next(iter(self.held)))  # the one used longest ago
+            got = tuple(self._load(f"{self.path}/{self.names[i]}-{what}.npy") for what in ("keys", "values"))
+        self.held[i] = got
+        return got
+
     def get(self, x: np.ndarray, default: float) -> np.ndarray:
         """Values of the keys x (non-negative longs)."""
-        out = np.full(len(x), default, np.float32)
-        which = np.searchsorted(self.first, x, "right") - 1 if len(self.shards) > 1 else None
-        for i, (keys, values) in enumerate(self.shards):
-            of = slice(None) if which is None else np.flatnonzero(which == i)
-            own = x[of]
-            at = np.searchsorted(keys, own)
-            at[at == len(keys)] = 0
-            out[of] = np.where(keys[at] == own, values[at], np.float32(default))
-        return out
+        if not len(x) or not self.names:
+            return np.full(len(x), default, np.float32)
+        distinct, back = np.unique(x, return_inverse=True)
+        out = np.full(len(distinct), default, np.float32)
+        edge = np.append(np.searchsorted(distinct, self.first[1:]), len(distinct))
+        lo = int(np.searchsorted(distinct, self.first[0]))
+        for i, hi in enumerate(edge.tolist()):
+            if hi > lo:
+                keys, values = self.shard(i)
+                own = distinct[lo:hi]
+                at = np.searchsorted(keys, own)
+                at[at == len(keys)] = 0
+                out[lo:hi] = np.where(keys[at] == own, values[at], np.float32(default))
+            lo = max(lo, hi)
+        return out[back]
 
 
 _opened: dict[str, Arrays] = k.Cache()
@@ -205,7 +234,8 @@ _opened: dict[str, Arrays] = k.Cache()
 
 def opened(folder: str, shards: list[tuple[int, str]]) -> Arrays:
     if folder not in _opened:
-        _opened.clear()
+        if len(_opened) > 1:
+            _opened.clear()
         _opened[folder] = Arrays(folder, shards)
     return _opened[folder]
 

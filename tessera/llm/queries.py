@@ -30,7 +30,7 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxic_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.fold_of(F.col("doc_id"), 5) == 0
     rows = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
-    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("z").alias("log_ratio"))
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("z").alias("log_ratio"), "passage")
 
 
 def op5_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:

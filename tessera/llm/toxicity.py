@@ -1,17 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One scan counts the byte n-grams of all texts, those of labelled texts also by class. The whole corpus gives one
-modified Kneser-Ney model, the shared backoff; each class's model discounts its own counts and gives the freed mass to
-the shared model, so an expression that a class has seen rarely or never keeps the odds of the language at large.
-A text's statistic is the difference of its mean log-likelihoods (bits a byte) under both class models, each n-gram's
-share shrunk by how surely the classes differ in it, the rest taken from the next shorter n-gram; a logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
+One scan counts the words and the byte n-grams of all texts, and those of labelled texts also by class, each once a
+text, so that no text that repeats itself speaks for many. The whole corpus gives one modified Kneser-Ney model, the
+shared backoff; each class's model discounts its own counts and gives the freed mass to the shared model, so an
+expression that a class has seen rarely or never keeps the odds of the language at large. Evidence is the difference
+of the log-likelihoods (bits) under both class models, shrunk by how surely the classes differ: that of a word where it
+is sure, else that of its byte n-grams, the rest taken from the next shorter n-gram; what a text repeats counts once.
+A text has two length-normalised statistics: the mean of its bytes' evidence, and the largest mean over PASSAGE
+consecutive bytes, by which a few words stand out of a text of any length. A logistic curve, fitted on labelled texts
+that the counts have not seen, turns both into a score.
 
 Labels are a sample of at most LABELS rows, those with the least hashes of their ids; every fifth of them (by crc32)
 is held back from the counts to fit the curve. Everything else, counts of the shared model included, covers all rows.
 
-Defined cases: null or empty text has statistic 0, hence the score of a text without evidence; texts without a label
-or with a null label only count for the shared model; without labels of both classes all scores are 0; repeated
-rows are scored one by one; an empty table gives no rows; other columns are ignored.
+Defined cases: null or empty text has statistics 0, hence the score of a text without evidence; texts without a label
+or with a null label or doc_id only count for the shared model; an id labelled twice is toxic if any label says so;
+without labels of both classes all scores are 0; ids of any type; repeated rows are scored one by one; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,44 +32,115 @@ from . import kernels as k
 from . import ngram_lm as lm
 from .shared import materialise, own_columns, ship
 
-#: Most labels learnt from (9 bytes each in the broadcast).
+#: Most labels learnt from (16 bytes each in the broadcast).
 LABELS = 500_000
 #: A log-ratio is shrunk by 1 - (KAPPA / its standard score) ** 2, to nothing below KAPPA: chance differences of the
 #: many ordinary n-grams would else outweigh the few telling ones of a long text.
 KAPPA = 5.0
+#: The same for words, which are fewer; words that keep less than half of their log-ratio leave the decision to their bytes.
+WORD_KAPPA = 3.0
+LEAST_SURE = 0.5
 #: Orders (bytes) of n-grams whose class ratios are used, the longest that is sure first.
 ORDERS = (5, 4, 3)
+#: Bytes of the passages whose evidence is compared.
+PASSAGE = 48
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds
 
 
+def _id_hash(doc_id: Column) -> Column:
+    """Null for null: ids of any type are matched by hash."""
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("string")))
+
+
 def _tagger(known):
-    """Class tags of rows by their doc_id: 0 unlabelled, 1 ordinary, 2 toxic."""
+    """Class tags of rows by their id's hash: 0 unlabelled, 1 ordinary, 2 toxic."""
 
     def tag(batch: pa.RecordBatch) -> np.ndarray:
         ids, labels = known.value
-        x = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
-        out = np.zeros(len(x), np.int64)
-        if len(ids):
-            at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-            out = np.where(ids[at] == x, labels[at] + 1, 0)
-        return out
+        x = batch.column(0)
+        none = x.is_null().to_numpy(zero_copy_only=False)
+        x = x.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(ids):
+            return np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+        return np.where((ids[at] == x) & ~none, labels[at] + 1, 0)
 
     return tag
 
 
-def _score(folder: str, shards: list):
+WORD_BITS = np.uint64((1 << 60) - 1)
+
+
+def _keys(tag):
+    """All byte n-grams under tag 0 and words under tag 4; those of labelled texts also under 1 or 2, and 5 or 6, once a text."""
+
+    def keys(batch: pa.RecordBatch, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray) -> lm.Counted:
+        g = lm.grams(data, offsets, np.zeros(hi - lo, np.int64))
+        w = k.Words(data, offsets, k.ALNUM_WORDS, lower=True)
+        h = (w.h & WORD_BITS) | np.uint64(4 << 60)
+        yield np.unique(g, return_counts=True)
+        yield np.unique(h, return_counts=True)
+        tags = tag(batch.slice(lo, hi - lo))
+        for i in np.flatnonzero(tags).tolist():
+            own = np.concatenate([np.unique(g[offsets[i] : offsets[i + 1]]), np.unique(h[w.first[i] : w.first[i + 1]])])
+            yield own | np.uint64(int(tags[i]) << 60), np.ones(len(own), np.int64)
+
+    return keys
+
+
+def _first(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which keys are the first of their kind in their text."""
+    _, at = np.unique(k.mix(keys ^ k.mix(owner.astype(np.uint64) + np.uint64(1))), return_index=True)
+    out = np.zeros(len(keys), bool)
+    out[at] = True
+    return out
+
+
+def evidence_of(data: np.ndarray, offsets: np.ndarray, grams: lm.Arrays, words: lm.Arrays) -> np.ndarray:
+    """Evidence (bits) at each byte."""
+    g = lm.grams(data, offsets, np.zeros(len(offsets) - 1, np.int64))
+    out = grams.get(k.signed(g), 0.0)
+    some = np.flatnonzero(out)
+    again = some[~_first(g[some], np.searchsorted(offsets, some, "right"))]
+    out[again] = 0.0
+    w = k.Words(data, offsets, k.ALNUM_WORDS, lower=True)
+    value = words.get(k.signed(w.h & WORD_BITS), np.nan)
+    known = np.flatnonzero(~np.isnan(value))
+    if len(known):
+        size = w.ends[known] - w.starts[known]
+        share = np.where(_first(w.h[known], np.searchsorted(w.first, known, "right")), value[known] / size, 0.0)
+        places = np.repeat(w.starts[known] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        out[places] = np.repeat(share, size)
+    return out
+
+
+def _means(x: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the mean of x, and the greatest sum over `width` consecutive places (or all, if fewer) by width."""
+    sums = np.zeros(len(x) + 1)
+    np.cumsum(x, dtype=np.float64, out=sums[1:])
+    n = np.diff(offsets)
+    total = sums[offsets[1:]] - sums[offsets[:-1]]
+    best = total / width
+    long = np.flatnonzero(n > width)
+    if len(long):
+        part = np.full(len(x) + 1, -np.inf)
+        part[: len(x) - width + 1] = sums[width:] - sums[: len(x) - width + 1]
+        # a text's passages begin at its places up to `width` before its end
+        edges = np.stack([offsets[:-1][long], offsets[1:][long] - width + 1], 1).ravel()
+        best[long] = np.maximum.reduceat(part, edges)[::2] / width
+    return total / np.maximum(n, 1), best
+
+
+def _score(models: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = lm.opened(folder, shards)
+        grams, words = (lm.opened(*m) for m in models)
         for batch in batches:
-            for lo, hi, data, offsets in k.slices(batch.column(1)):
-                ratio = arrays.get(k.signed(lm.grams(data, offsets, np.zeros(hi - lo, np.int64))), 0.0)
-                sums = np.zeros(len(ratio) + 1)
-                np.cumsum(ratio, dtype=np.float64, out=sums[1:])
-                mean = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(mean)], ["doc_id", "z"])
+            for lo, hi, data, offsets in k.slices(batch.column(3)):
+                mean, best = _means(evidence_of(data, offsets, grams, words), offsets, PASSAGE)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in (0, 1, 2)], pa.array(mean), pa.array(best)], ["doc_id", "key", "id_hash", "z", "passage"])
 
     return run
 
@@ -72,19 +148,26 @@ def _score(folder: str, shards: list):
 ship(__name__)
 
 
-def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a little ridge; z is scaled for it."""
-    scale = float(z.std()) or 1.0
-    x, w = np.stack([z / scale, np.ones(len(z))], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 1e-2 * w * [1, 0]
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-9])
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0] / scale), float(w[1])
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (none below 0: evidence never speaks for its opposite) and intercept by Newton's method, with a little ridge; columns are scaled for it."""
+    scale = x.std(axis=0)
+    scale[scale == 0] = 1.0
+    use = np.arange(x.shape[1])
+    while True:
+        own, w = np.column_stack([x[:, use] / scale[use], np.ones(len(x))]), np.zeros(len(use) + 1)
+        ridge = np.append(np.full(len(use), 1e-2), 1e-9)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            hess = (own * (p * (1 - p))[:, None]).T @ own + np.diag(ridge)
+            step = np.linalg.solve(hess, own.T @ (p - y) + ridge * w)
+            w -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not len(use) or w[:-1].min() >= 0:
+            slopes = np.zeros(x.shape[1])
+            slopes[use] = w[:-1] / scale[use]
+            return slopes, float(w[-1])
+        use = np.delete(use, w[:-1].argmin())
 
 
 def _evidence(counts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -105,25 +188,45 @@ def _evidence(counts: DataFrame, shared: DataFrame) -> DataFrame:
     return materialise(rows.select("gram", (F.col("sure") * F.log2(F.col("pn1") / F.col("pn0"))).alias("p"), "sure"), "evidence")
 
 
+def _word_evidence(counts: DataFrame, docs: tuple[int, int]) -> DataFrame:
+    """key, value of the words that are sure: as _evidence(), in the empty context; the totals are a few numbers on the driver."""
+    n = ("n0", "n1")
+    sums = [F.sum("n").alias("n")] + [F.sum(c).alias(c) for c in n] + [F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in n for i in (1, 2, 3, 4)] + [F.count_if(F.col(c) > 2).alias(f"{c}_more") for c in n]
+    total = counts.agg(*sums).first()
+    p = []
+    for c in n:
+        d = lm.discounts([total[f"{c}_{i}"] or 0 for i in (1, 2, 3, 4)])
+        freed = d[0] * (total[f"{c}_1"] or 0) + d[1] * (total[f"{c}_2"] or 0) + d[2] * (total[f"{c}_more"] or 0)
+        own = F.col(c) - F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+        p.append((own + freed * F.col("n") / F.lit(total["n"])) / F.lit(total[c]) if total[c] else F.col("n") / F.lit(total["n"]))
+    pool = (F.col("n0") + F.col("n1")) / max(sum(docs), 1)
+    variance = docs[0] * docs[1] / max(sum(docs), 1) * pool * (1 - pool)
+    z2 = F.when(variance > 0, F.pow(F.col("n1") - docs[1] * pool, 2) / variance).otherwise(0.0)
+    sure = F.greatest(F.lit(0.0), 1 - WORD_KAPPA**2 / F.greatest(z2, F.lit(1e-9)))
+    rows = counts.filter("n0 + n1 > 0").select(F.col("gram").alias("key"), sure.alias("sure"), (F.log2(p[1] / p[0])).alias("llr"))
+    return rows.filter(F.col("sure") >= LEAST_SURE).select("key", (F.col("sure") * F.col("llr")).alias("value"))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
-    """doc_id, z (the statistic) and score of every row of docs. train: which labels may be learnt from."""
+    """doc_id, key (hash of the text), z, passage (the statistics) and score of every row of docs. train: which labels may be learnt from."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = own_columns(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)")
     if train is not None:
         known = known.filter(train)
-    # an id labelled twice counts as toxic if any label says so
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
-    known = known.withColumn("held", fold_of(F.col("doc_id"), 5) == 4).toArrow().sort_by("doc_id")
-    ids, toxic, held = (known.column(c).to_numpy() for c in ("doc_id", "toxic", "held"))
+    known = known.select(_id_hash(F.col("doc_id")).alias("id_hash"), "toxic", (fold_of(F.col("doc_id"), 5) == 4).alias("held")).toArrow().sort_by("id_hash")
+    ids, toxic, held = (known.column(c).to_numpy() for c in ("id_hash", "toxic", "held"))
     held = held.astype(bool)
     if not held.any() or len(set(toxic[held])) < 2 or len(set(toxic[~held])) < 2:
         held = np.zeros(len(ids), bool)  # too few labels to hold any back
     shown = spark.sparkContext.broadcast((ids[~held], toxic[~held].astype(np.int64)))
-    texts = own_columns(docs, "doc_id", "text")
-    counted = texts.select(F.lit(0).cast("long").alias("grp"), "text", F.col("doc_id").cast("long").alias("id")).mapInArrow(lm.counter(_tagger(shown)), "tag int, gram long, n long")
-    of = lambda c: F.sum(F.when(F.col("tag") == c, F.col("n")).otherwise(0))
-    counts = materialise(counted.groupBy("gram").agg(F.sum("n").alias("n"), of(1).alias("n0"), of(2).alias("n1")), "gram-counts")
+    texts = own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), _id_hash(F.col("doc_id")).alias("id_hash"), "text")
+    counted = texts.select("id_hash", "text").mapInArrow(lm.counter(_keys(_tagger(shown))), "tag int, gram long, n long")
+    of = lambda c: F.sum(F.when(F.col("tag") % 4 == c, F.col("n")).otherwise(0))
+    every = materialise(counted.groupBy((F.col("tag") >= 4).alias("word"), "gram").agg(of(0).alias("n"), of(1).alias("n0"), of(2).alias("n1")), "gram-counts")
+    words = _word_evidence(every.filter("word"), (int((toxic[~held] == 0).sum()), int((toxic[~held] == 1).sum())))
+    counts = every.filter("not word").drop("word")
     ratio = _evidence(counts, lm.kneser_ney(counts.select("gram", "n"))).select("gram", "p", "sure")
     for order in ORDERS[1:]:
         # where the longer context leaves the classes' difference open, the shorter one's word counts
@@ -136,13 +239,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
         ratio = ratio.withColumn("suf", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(lower, "suf")
         ratio = ratio.select("gram", (F.col("p") + (1 - F.col("sure")) * F.col("sure_low") * F.col("p_low")).alias("p"), (F.col("sure") + (1 - F.col("sure")) * F.col("sure_low")).alias("sure"))
     ratio = ratio.select(F.col("gram").alias("key"), F.col("p").alias("value")).filter("value <> 0")
-    folder, shards = lm.save_arrays(ratio, "toxicity-model")
-    scored = materialise(texts.mapInArrow(_score(folder, shards), f"doc_id {kind}, z double"), "toxicity")
+    models = lm.save_arrays(ratio, "toxicity-model"), lm.save_arrays(words, "toxicity-words")
+    scored = materialise(texts.mapInArrow(_score(models), f"doc_id {kind}, key long, id_hash long, z double, passage double"), "toxicity")
     fit = held if held.any() else np.ones(len(ids), bool)
     if len(set(toxic[fit])) < 2:
-        return scored.withColumn("score", F.lit(0.0))
-    # the held-back labels' statistics: at most LABELS pairs of numbers
-    sample = spark.createDataFrame(pa.table({"doc_id": ids[fit], "y": toxic[fit].astype(np.float64)}))
-    pairs = scored.join(sample, "doc_id").select("z", "y").toArrow()
-    slope, intercept = logistic(pairs.column("z").to_numpy(), pairs.column("y").to_numpy())
-    return scored.select("doc_id", "z", (1 / (1 + F.exp(-(F.col("z") * slope + intercept)))).alias("score"))
+        return scored.select("doc_id", "key", "z", "passage", F.lit(0.0).alias("score"))
+    # the held-back labels' statistics: a few numbers for each of at most LABELS ids
+    sample = spark.createDataFrame(pa.table({"id_hash": ids[fit], "y": toxic[fit].astype(np.float64)}))
+    rows = scored.join(sample, "id_hash").groupBy("id_hash", "y").agg(F.max("z").alias("z"), F.max("passage").alias("passage")).toArrow()
+    slopes, intercept = logistic(np.column_stack([rows.column(c).to_numpy() for c in ("z", "passage")]), rows.column("y").to_numpy())
+    total = F.col("z") * float(slopes[0]) + F.col("passage") * float(slopes[1]) + intercept
+    return scored.select("doc_id", "key", "z", "passage", (1 / (1 + F.exp(-total))).alias("score"))

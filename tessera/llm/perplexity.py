@@ -3,8 +3,9 @@
 Every text is scored by a modified Kneser-Ney model of its language that has not seen it: texts are dealt into two
 folds by the hash of their bytes (copies share a fold), each fold is scored by the model of the other, and the
 whole table is counted. A text's perplexity is that of a byte, 2 ** (mean bits a byte). Bands are a language's median
-of the bits a byte, MAD_WIDTH scaled median absolute deviations to either side (and three standard errors of the
-text's own mean), over the texts that pass the base rules, by mergeable quantile sketches.
+of the bits a byte, MAD_WIDTH scaled median absolute deviations to either side, over the texts that pass the base
+rules, by mergeable quantile sketches. As the mean of a short text scatters more, deviations are measured in units of
+sqrt(1 + SHORT_BYTES / bytes of the text), and bands are wider for short texts by the same factor.
 What is outside (too odd above; too predictable below) is rejected.
 
 Defined cases: null or empty text has no words and fails the base rules; a null language is a language of its own;
@@ -27,11 +28,11 @@ from . import ngram_lm as lm
 from .shared import materialise, own_columns, ship
 
 WINDOW = 8
-MAD_WIDTH = 6.0
+MAD_WIDTH = 3.5
+#: Bytes of text at which the scatter of a text's own mean is that between texts.
+SHORT_BYTES = 3000
 #: Where a group has its fold: above the language's bits, the n-gram's highest.
 FOLD_BIT = 20
-#: Spread of a single byte's bits: bands are wider by three standard errors of a text's mean.
-BYTE_SPREAD = 2.2
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -97,7 +98,7 @@ def perplexity_bands(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(2)), FOLD_BIT)
     texts = own_columns(docs, "doc_id", "lang", "text").select("doc_id", (lm.group_code(F.col("lang")) + fold).alias("grp"), "text")
-    # the fold's bit is the one that counter() tells apart as tag
+    # the fold's bit is the one that is told apart as tag
     counted = texts.select("grp", "text").mapInArrow(lm.counter(), "tag int, gram long, n long")
     of = lambda c: F.sum(F.when(F.col("tag") == c, F.col("n")).otherwise(0)).alias(f"n{c}")
     counts = materialise(counted.groupBy("gram").agg(of(0), of(1)), "gram-counts")
@@ -110,11 +111,10 @@ def perplexity_bands(docs: DataFrame) -> DataFrame:
     scored = scored.withColumn("base_failed", failed).withColumn("grp", F.col("grp").bitwiseAND(F.lit((1 << FOLD_BIT) - 1)))
     sound = scored.filter("not base_failed")
     middle = sound.groupBy("grp").agg(F.percentile_approx("bits", 0.5, 10000).alias("mid"))
-    spread = sound.join(middle, "grp")
-    bands = spread.groupBy("grp", "mid").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("mid")), 0.5, 10000).alias("mad"))
-    half = MAD_WIDTH * 1.4826 * F.col("mad")
-    bands = bands.select("grp", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
-    more = 3 * BYTE_SPREAD / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    out = scored.join(bands, "grp", "left").withColumn("low", F.col("low") - more).withColumn("high", F.col("high") + more)
+    unit = F.sqrt(1 + SHORT_BYTES / F.greatest("n_bytes", F.lit(1)))
+    spread = sound.join(middle, "grp").withColumn("away", F.abs(F.col("bits") - F.col("mid")) / unit)
+    bands = spread.groupBy("grp", "mid").agg(F.percentile_approx("away", 0.5, 10000).alias("mad"))
+    half = MAD_WIDTH * 1.4826 * F.col("mad") * unit
+    out = scored.join(bands, "grp", "left").withColumn("low", F.col("mid") - half).withColumn("high", F.col("mid") + half)
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", *[c.split(" ")[0] for c in BASE.split(", ")], "base_failed", kept.alias("kept"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "low").alias("low"), F.pow(F.lit(2.0), "high").alias("high"))

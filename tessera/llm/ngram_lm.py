@@ -112,6 +112,16 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(x, 0.05), i - 0.05) for i, x in zip((1, 2, 3), d)]
 
 
+def single_discounts(rows: DataFrame, *names: str) -> dict[str, list[float]]:
+    """Discounts of each named column of counts, over all rows."""
+    got = rows.agg(*[F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in names for i in (1, 2, 3, 4)]).first()
+    return {c: discounts([got[f"{c}_{i}"] for i in (1, 2, 3, 4)]) for c in names}
+
+
+def discount_of(n: Column, d: list[float]) -> Column:
+    return F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
 def _discounts(level: DataFrame) -> DataFrame:
     """grp, d1, d2, d3: the modified discounts of each group from its counts of counts."""
     n = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -124,12 +134,18 @@ def _discount() -> Column:
     return F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def interpolate(level: DataFrame, lower: DataFrame | None, context: Column, suffix: Column) -> DataFrame:
+def interpolate(level: DataFrame, lower: DataFrame | None, context: Column, suffix: Column, single: bool = False) -> DataFrame:
     """grp, gram, p: discounted relative frequency of each n-gram in its context, plus the context's freed mass by the lower order's probability.
 
     level: grp, gram, n (0 where only the lower order is wanted). lower: grp, gram, p; None stands for 1 / 256.
+    single: all rows are of one group, whose discounts are three numbers on the driver.
     """
-    level = level.withColumn("ctx", context).withColumn("suf", suffix).join(_discounts(level.filter("n > 0")), "grp", "left").na.fill({"d1": 0.5, "d2": 1.0, "d3": 1.5})
+    level = level.withColumn("ctx", context).withColumn("suf", suffix)
+    if single:
+        d = single_discounts(level, "n")["n"]
+        level = level.withColumns({f"d{i}": F.lit(x) for i, x in zip((1, 2, 3), d)})
+    else:
+        level = level.join(_discounts(level.filter("n > 0")), "grp", "left").na.fill({"d1": 0.5, "d2": 1.0, "d3": 1.5})
     mass = level.groupBy("grp", "ctx").agg(F.sum("n").alias("total"), F.sum(_discount()).alias("freed"))
     rows = level.join(mass, ["grp", "ctx"])
     if lower is None:
@@ -140,15 +156,15 @@ def interpolate(level: DataFrame, lower: DataFrame | None, context: Column, suff
     return rows.select("grp", "gram", p.alias("p"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """grp, gram, p of every n-gram in counts (gram: with its group's bits, n: 0 where only its probability is wanted)."""
+def kneser_ney(counts: DataFrame, single: bool = False) -> DataFrame:
+    """grp, gram, p of every n-gram in counts (gram: with its group's bits, n: 0 where only its probability is wanted). single: as in interpolate()."""
     low = F.lit((1 << GRAM_BITS) - 1)
     levels = [counts.select(F.shiftright("gram", GRAM_BITS).alias("grp"), F.col("gram").bitwiseAND(low).alias("gram"), "n")]
     for order in range(ORDER - 1, 0, -1):
         levels.append(materialise(levels[-1].groupBy("grp", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), f"level{order}"))
     p = None
     for order, level in zip(range(1, ORDER + 1), reversed(levels)):
-        p = materialise(interpolate(level, p, F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))), f"p{order}")
+        p = materialise(interpolate(level, p, F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)), single), f"p{order}")
     return p
 
 
@@ -212,10 +228,14 @@ class Arrays:
 
     def get(self, x: np.ndarray, default: float) -> np.ndarray:
         """Values of the keys x (non-negative longs)."""
-        if not len(x) or not self.names:
-            return np.full(len(x), default, np.float32)
         distinct, back = np.unique(x, return_inverse=True)
+        return self.of(distinct, default)[back]
+
+    def of(self, distinct: np.ndarray, default: float) -> np.ndarray:
+        """Values of sorted distinct keys."""
         out = np.full(len(distinct), default, np.float32)
+        if not self.names or not len(distinct):
+            return out
         edge = np.append(np.searchsorted(distinct, self.first[1:]), len(distinct))
         lo = int(np.searchsorted(distinct, self.first[0]))
         for i, hi in enumerate(edge.tolist()):
@@ -226,7 +246,7 @@ class Arrays:
                 at[at == len(keys)] = 0
                 out[lo:hi] = np.where(keys[at] == own, values[at], np.float32(default))
             lo = max(lo, hi)
-        return out[back]
+        return out
 
 
 _opened: dict[str, Arrays] = k.Cache()

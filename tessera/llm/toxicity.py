@@ -91,27 +91,32 @@ def _keys(tag):
     return keys
 
 
-def _first(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which keys are the first of their kind in their text."""
-    _, at = np.unique(k.mix(keys ^ k.mix(owner.astype(np.uint64) + np.uint64(1))), return_index=True)
-    out = np.zeros(len(keys), bool)
-    out[at] = True
+def _first(kinds: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which places are the first of their kind (a small number) in their text: by one sort of kind, text and place packed together."""
+    out = np.zeros(len(kinds), bool)
+    if len(kinds):
+        place = np.uint64(len(kinds).bit_length())
+        text = np.uint64(int(owner.max()).bit_length())
+        packed = np.sort((kinds.astype(np.uint64) << (place + text)) | (owner.astype(np.uint64) << place) | np.arange(len(kinds), dtype=np.uint64))
+        head = packed >> place
+        at = packed[np.concatenate(([True], head[1:] != head[:-1]))] & ((np.uint64(1) << place) - np.uint64(1))
+        out[at.astype(np.int64)] = True
     return out
 
 
 def evidence_of(data: np.ndarray, offsets: np.ndarray, grams: lm.Arrays, words: lm.Arrays) -> np.ndarray:
     """Evidence (bits) at each byte."""
-    g = lm.grams(data, offsets, np.zeros(len(offsets) - 1, np.int64))
-    out = grams.get(k.signed(g), 0.0)
+    distinct, back = np.unique(k.signed(lm.grams(data, offsets, np.zeros(len(offsets) - 1, np.int64))), return_inverse=True)
+    out = grams.of(distinct, 0.0)[back]
     some = np.flatnonzero(out)
-    again = some[~_first(g[some], np.searchsorted(offsets, some, "right"))]
-    out[again] = 0.0
+    out[some[~_first(back[some], np.searchsorted(offsets, some, "right"))]] = 0.0
     w = k.Words(data, offsets, k.ALNUM_WORDS, lower=True)
-    value = words.get(k.signed(w.h & WORD_BITS), np.nan)
+    distinct, back = np.unique(k.signed(w.h & WORD_BITS), return_inverse=True)
+    value = words.of(distinct, np.nan)[back]
     known = np.flatnonzero(~np.isnan(value))
     if len(known):
         size = w.ends[known] - w.starts[known]
-        share = np.where(_first(w.h[known], np.searchsorted(w.first, known, "right")), value[known] / size, 0.0)
+        share = np.where(_first(back[known], np.searchsorted(w.first, known, "right")), value[known] / size, 0.0)
         places = np.repeat(w.starts[known] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         out[places] = np.repeat(share, size)
     return out
@@ -170,40 +175,39 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         use = np.delete(use, w[:-1].argmin())
 
 
+def _sure(z2: Column, kappa: float) -> Column:
+    return F.greatest(F.lit(0.0), 1 - kappa**2 / F.greatest(z2, F.lit(1e-9)))
+
+
 def _evidence(counts: DataFrame, shared: DataFrame) -> DataFrame:
-    """gram, p (log2 of the classes' probabilities' ratio in its context, times sure), sure (0 to 1), of counts gram, n, n0, n1."""
-    context = F.shiftright("gram", 8)
-    classes = []
-    for c in ("n0", "n1"):
-        level = counts.select(F.lit(0).cast("long").alias("grp"), "gram", F.col(c).alias("n"))
-        classes.append(materialise(lm.interpolate(level, shared, context, F.col("gram")).select("gram", F.col("p").alias(f"p{c}")), "class-model"))
+    """gram, p (log2 of the classes' probabilities' ratio in its context, times sure), sure (0 to 1), of the n-grams (counts gram, n0, n1) that a class has."""
+    own = counts.filter("n0 + n1 > 0").withColumn("ctx", F.shiftright("gram", 8))
+    d = lm.single_discounts(own, "n0", "n1")
+    cut = {c: lm.discount_of(F.col(c), d[c]) for c in d}
+    mass = own.groupBy("ctx").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum(cut["n0"]).alias("f0"), F.sum(cut["n1"]).alias("f1"))
+    rows = own.join(mass, "ctx").join(shared.select("gram", F.col("p").alias("low")), "gram")
+    p = [F.when(F.col(f"t{i}") > 0, (F.col(c) - cut[c] + F.col(f"f{i}") * F.col("low")) / F.col(f"t{i}")).otherwise(F.col("low")) for i, c in enumerate(cut)]
     # how surely the classes differ in this n-gram, given its context: the squared standard score of the toxic count
-    totals = counts.groupBy(context.alias("ctx")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    rows = counts.withColumn("ctx", context).join(totals, "ctx").withColumn("pool", (F.col("n0") + F.col("n1")) / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)))
-    variance = F.col("t0") * F.col("t1") / F.greatest(F.col("t0") + F.col("t1"), F.lit(1)) * F.col("pool") * (1 - F.col("pool"))
-    z2 = F.when(variance > 0, F.pow(F.col("n1") - F.col("t1") * F.col("pool"), 2) / variance).otherwise(0.0)
-    sure = F.greatest(F.lit(0.0), 1 - KAPPA**2 / F.greatest(z2, F.lit(1e-9)))
-    rows = rows.select("gram", sure.alias("sure")).join(classes[0], "gram").join(classes[1], "gram")
+    both = F.greatest(F.col("t0") + F.col("t1"), F.lit(1))
+    pool = (F.col("n0") + F.col("n1")) / both
+    variance = F.col("t0") * F.col("t1") / both * pool * (1 - pool)
+    z2 = F.when(variance > 0, F.pow(F.col("n1") - F.col("t1") * pool, 2) / variance).otherwise(0.0)
     # written out: small plans keep the driver small
-    return materialise(rows.select("gram", (F.col("sure") * F.log2(F.col("pn1") / F.col("pn0"))).alias("p"), "sure"), "evidence")
+    return materialise(rows.select("gram", (_sure(z2, KAPPA) * F.log2(p[1] / p[0])).alias("p"), _sure(z2, KAPPA).alias("sure")).filter("sure > 0"), "evidence")
 
 
 def _word_evidence(counts: DataFrame, docs: tuple[int, int]) -> DataFrame:
     """key, value of the words that are sure: as _evidence(), in the empty context; the totals are a few numbers on the driver."""
     n = ("n0", "n1")
-    sums = [F.sum("n").alias("n")] + [F.sum(c).alias(c) for c in n] + [F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in n for i in (1, 2, 3, 4)] + [F.count_if(F.col(c) > 2).alias(f"{c}_more") for c in n]
-    total = counts.agg(*sums).first()
-    p = []
-    for c in n:
-        d = lm.discounts([total[f"{c}_{i}"] or 0 for i in (1, 2, 3, 4)])
-        freed = d[0] * (total[f"{c}_1"] or 0) + d[1] * (total[f"{c}_2"] or 0) + d[2] * (total[f"{c}_more"] or 0)
-        own = F.col(c) - F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
-        p.append((own + freed * F.col("n") / F.lit(total["n"])) / F.lit(total[c]) if total[c] else F.col("n") / F.lit(total["n"]))
+    d = lm.single_discounts(counts, *n)
+    cut = {c: lm.discount_of(F.col(c), d[c]) for c in n}
+    total = counts.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in n], *[F.sum(cut[c]).alias(f"f_{c}") for c in n]).first()
+    common = F.col("n") / F.lit(total["n"])
+    p = [(F.col(c) - cut[c] + F.lit(total[f"f_{c}"]) * common) / F.lit(total[c]) if total[c] else common for c in n]
     pool = (F.col("n0") + F.col("n1")) / max(sum(docs), 1)
     variance = docs[0] * docs[1] / max(sum(docs), 1) * pool * (1 - pool)
-    z2 = F.when(variance > 0, F.pow(F.col("n1") - docs[1] * pool, 2) / variance).otherwise(0.0)
-    sure = F.greatest(F.lit(0.0), 1 - WORD_KAPPA**2 / F.greatest(z2, F.lit(1e-9)))
-    rows = counts.filter("n0 + n1 > 0").select(F.col("gram").alias("key"), sure.alias("sure"), (F.log2(p[1] / p[0])).alias("llr"))
+    sure = _sure(F.when(variance > 0, F.pow(F.col("n1") - docs[1] * pool, 2) / variance).otherwise(0.0), WORD_KAPPA)
+    rows = counts.filter("n0 + n1 > 0").select(F.col("gram").alias("key"), sure.alias("sure"), F.log2(p[1] / p[0]).alias("llr"))
     return rows.filter(F.col("sure") >= LEAST_SURE).select("key", (F.col("sure") * F.col("llr")).alias("value"))
 
 
@@ -227,17 +231,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
     every = materialise(counted.groupBy((F.col("tag") >= 4).alias("word"), "gram").agg(of(0).alias("n"), of(1).alias("n0"), of(2).alias("n1")), "gram-counts")
     words = _word_evidence(every.filter("word"), (int((toxic[~held] == 0).sum()), int((toxic[~held] == 1).sum())))
     counts = every.filter("not word").drop("word")
-    ratio = _evidence(counts, lm.kneser_ney(counts.select("gram", "n"))).select("gram", "p", "sure")
-    for order in ORDERS[1:]:
-        # where the longer context leaves the classes' difference open, the shorter one's word counts
-        short = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")])
-        short = materialise(short, f"counts{order}")
-        all_ = short.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"))
-        common = short.withColumn("ctx", F.shiftright("gram", 8)).join(all_, "ctx").select(F.lit(0).cast("long").alias("grp"), "gram", (F.col("n") / F.col("t")).alias("p"))
-        common = materialise(common, f"common{order}")
-        lower = _evidence(short, common).select(F.col("gram").alias("suf"), F.col("p").alias("p_low"), F.col("sure").alias("sure_low"))
-        ratio = ratio.withColumn("suf", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(lower, "suf")
-        ratio = ratio.select("gram", (F.col("p") + (1 - F.col("sure")) * F.col("sure_low") * F.col("p_low")).alias("p"), (F.col("sure") + (1 - F.col("sure")) * F.col("sure_low")).alias("sure"))
+    ratio = counts.select("gram", F.lit(0.0).alias("p"), F.lit(0.0).alias("sure"))
+    for order in ORDERS:
+        # where the longer context leaves the classes' difference open, the shorter one's word counts, as far as that is sure itself
+        if order == lm.ORDER:
+            own, common = counts, lm.kneser_ney(counts.select("gram", "n"), single=True)
+        else:
+            own = materialise(counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]), f"counts{order}")
+            all_ = own.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"))
+            common = own.filter("n0 + n1 > 0").withColumn("ctx", F.shiftright("gram", 8)).join(all_, "ctx").select("gram", (F.col("n") / F.col("t")).alias("p"))
+        lower = _evidence(own, common).select(F.col("gram").alias("suf"), F.col("p").alias("p_low"), F.col("sure").alias("sure_low"))
+        ratio = ratio.withColumn("suf", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(lower, "suf", "left").na.fill(0.0, ["p_low", "sure_low"])
+        share = F.lit(1.0) if order == lm.ORDER else F.col("sure_low")
+        ratio = ratio.select("gram", (F.col("p") + (1 - F.col("sure")) * share * F.col("p_low")).alias("p"), (F.col("sure") + (1 - F.col("sure")) * F.col("sure_low")).alias("sure"))
     ratio = ratio.select(F.col("gram").alias("key"), F.col("p").alias("value")).filter("value <> 0")
     models = lm.save_arrays(ratio, "toxicity-model"), lm.save_arrays(words, "toxicity-words")
     scored = materialise(texts.mapInArrow(_score(models), f"doc_id {kind}, key long, id_hash long, z double, passage double"), "toxicity")
@@ -247,6 +253,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
     # the held-back labels' statistics: a few numbers for each of at most LABELS ids
     sample = spark.createDataFrame(pa.table({"id_hash": ids[fit], "y": toxic[fit].astype(np.float64)}))
     rows = scored.join(sample, "id_hash").groupBy("id_hash", "y").agg(F.max("z").alias("z"), F.max("passage").alias("passage")).toArrow()
-    slopes, intercept = logistic(np.column_stack([rows.column(c).to_numpy() for c in ("z", "passage")]), rows.column("y").to_numpy())
+    y = rows.column("y").to_numpy()
+    if len(set(y)) < 2:  # the labelled texts aren't in docs
+        return scored.select("doc_id", "key", "z", "passage", F.lit(0.0).alias("score"))
+    slopes, intercept = logistic(np.column_stack([rows.column(c).to_numpy() for c in ("z", "passage")]), y)
     total = F.col("z") * float(slopes[0]) + F.col("passage") * float(slopes[1]) + intercept
     return scored.select("doc_id", "key", "z", "passage", (1 / (1 + F.exp(-total))).alias("score"))

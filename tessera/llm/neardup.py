@@ -4,20 +4,21 @@ A text's signature has COMPONENTS minimum hashes of its shingles, LANE bits of e
 of four components. Two signatures that differ in at most 2 * CHUNKS - 1 components have, by pigeonhole, a chunk in
 which at most one differs; so each chunk is entered under its four keys that leave one component out (the allowed
 chunk errors, enumerated), and every pair within that signature distance meets under some key. For texts of Jaccard
-similarity 0.85 (0.8) the probability to meet under no key is 2e-8 (1e-6). Every link is then confirmed on the full
-shingle sets, by 64-bit hashes of all shingles.
+similarity 0.85 (0.8) the probability to meet under no key is 2e-8 (1e-6). Every pair that meets and whose sizes allow
+the threshold is then settled on the full shingle sets, by 64-bit hashes of all shingles: no pair is dropped by
+its signatures.
 
-Equal shingle sets form one node. Candidates under one key are not paired with each other: first each is paired with
+Equal shingle sets form one node, under a number of its own. Candidates under one key are not paired with each other: first each is paired with
 the key's smallest node only. Links found so settle most keys, as all their members fall into one component. Only
 keys whose members still lie in different components pair these members, across components, by a join that splits
-hot keys; pairs whose sizes or signatures exclude the threshold (beyond MOST_DIFFERENT components) go before the sets
-are fetched. So each candidate pair is either confirmed, refuted, or needless for the classes because its ends are
+hot keys; pairs whose sizes exclude the threshold go before the sets are fetched. So each candidate pair is either confirmed, refuted, or needless for the classes because its ends are
 already joined. Where links are counted, these last pairs are confirmed, too, each under the first key that it shares.
 
 Defined cases: null, empty and wordless texts have the empty set and are linked with nothing; a text of fewer words
-than a shingle has its whole word sequence as its one shingle; repeated rows are in one class; an empty table gives
-no rows; other columns are ignored; of rows that share a doc_id but not a text, one text stands for the id where links
-are confirmed. Component ids are the smallest doc_id of the class.
+than a shingle has its whole word sequence as its one shingle; repeated rows are in one class; rows that share a doc_id
+but not a text are judged each by its text; ids of any type; rows without doc_id are linked as others are, and kept if
+no row of their class has one; an empty table gives no rows; other columns are ignored. Component ids are the smallest
+doc_id of the class.
 """
 
 from __future__ import annotations
@@ -37,8 +38,6 @@ CHUNKS = 8
 PER_CHUNK = 4
 LANE = 16
 COMPONENTS = CHUNKS * PER_CHUNK
-#: Pairs that differ in more components aren't fetched: at similarity 0.8 the odds of more than this are below 1e-7.
-MOST_DIFFERENT = 18
 #: Shingles (8 bytes each) in a block of sets to be compared.
 BLOCK = 500_000
 _seed = np.random.default_rng(811)
@@ -68,7 +67,7 @@ def _shingles(w: k.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in k.slices(batch.column(1)):
+            for lo, hi, data, offsets in k.slices(batch.column(2)):
                 w = k.Words(data, offsets, k.BLANK_WORDS, lower=True)
                 h, first = _shingles(w, width)
                 n = np.diff(first)
@@ -88,8 +87,8 @@ def _sign(width: int):
                 lanes = (k.mix(signature) & np.uint64(0xFFFF)).reshape(hi - lo, CHUNKS, PER_CHUNK)
                 packed = lanes[:, :, 0] | lanes[:, :, 1] << np.uint64(16) | lanes[:, :, 2] << np.uint64(32) | lanes[:, :, 3] << np.uint64(48)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(distinct), pa.array(k.signed(h1)), pa.array(k.signed(h2)), *[pa.array(k.signed(np.ascontiguousarray(packed[:, c]))) for c in range(CHUNKS)]],
-                    ["doc_id", "n", "h1", "h2", *SIGNATURE],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(distinct), pa.array(k.signed(h1)), pa.array(k.signed(h2)), *[pa.array(k.signed(np.ascontiguousarray(packed[:, c]))) for c in range(CHUNKS)]],
+                    ["doc_id", "key", "n", "h1", "h2", *SIGNATURE],
                 )
 
     return run
@@ -110,16 +109,9 @@ def _sets(width: int):
     return run
 
 
-def _differing(a: str, b: str) -> Column:
-    """Number of components in which the signatures with prefixes a and b differ."""
-    masks = [0xFFFF, 0xFFFF << 16, 0xFFFF << 32, (0xFFFF << 48) - (1 << 64)]
-    return sum((F.when((F.col(a + s).bitwiseXOR(F.col(b + s))).bitwiseAND(F.lit(m)) != 0, 1).otherwise(0) for s in SIGNATURE for m in masks), F.lit(0))
-
-
-def _possible(a: str, b: str, percent: int) -> Column:
-    """What sizes and signatures allow."""
-    na, nb = F.col(a + "n"), F.col(b + "n")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (_differing(a, b) <= MOST_DIFFERENT)
+def _possible(percent: int) -> Column:
+    """What sizes allow."""
+    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
 
 
 def _met(percent: int):
@@ -130,10 +122,10 @@ def _met(percent: int):
         if not pairs.num_rows:
             return none
         hashes = sets.column("hashes").combine_chunks()
-        place = {x: i for i, x in enumerate(sets.column("id").to_pylist())}
+        ids = sets.column("id").to_numpy()
+        at_id = np.argsort(ids)
         values, edge = hashes.values.to_numpy().view(np.uint64), hashes.offsets.to_numpy()  # sorted as unsigned numbers
-        a = np.array([place[x] for x in pairs.column("a").to_pylist()])
-        b = np.array([place[x] for x in pairs.column("b").to_pylist()])
+        a, b = (at_id[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=at_id)] for c in ("a", "b"))
         order = np.argsort(a, kind="stable")
         turn = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1])))
         good = np.zeros(len(a), bool)
@@ -166,7 +158,7 @@ def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     weight = member.groupBy("component").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
     small = weight.filter("blocks = 1").agg(F.sum("w")).first()[0] or 0
     packs = max(1, int(small // BLOCK))
-    member = member.join(weight, "component").select("id", (F.col("blocks") > 1).alias("big"), F.when(F.col("blocks") > 1, F.col("component").cast("long")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("g"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    member = member.join(weight, "component").select("id", (F.col("blocks") > 1).alias("big"), F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("g"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     member = materialise(member, f"blocks-{name}")
     other = member.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
     grouped = pairs.join(member.withColumnRenamed("id", "a"), "a").join(other, "b").select("a", "b", "big", "g", F.least("block", "block_b").alias("lo"), F.greatest("block", "block_b").alias("hi"))
@@ -179,13 +171,14 @@ def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (the row's set's links to others, if they are to be counted), kept, of every row."""
-    texts = own_columns(docs, "doc_id", "text")
+    """doc_id, key (hash of the text), n_shingles, class (null for the empty set), component_id, kept and n_links (the row's set's links to others, if they are to be counted) of every row."""
+    texts = own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{s} long" for s in SIGNATURE)
-    signed = materialise(texts.mapInArrow(_sign(width), f"doc_id {kind}, n long, h1 long, h2 long, {columns}"), "signatures")
-    # equal sets are one node, named by their smallest doc_id
-    nodes = materialise(signed.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in SIGNATURE]), "nodes")
+    signed = materialise(texts.mapInArrow(_sign(width), f"doc_id {kind}, key long, n long, h1 long, h2 long, {columns}"), "signatures")
+    # equal sets are one node; the numbers are kept by writing them out
+    nodes = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("rep"), *[F.first(s).alias(s) for s in SIGNATURE])
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     masks = [~(0xFFFF << (16 * lane)) & ((1 << 64) - 1) for lane in range(PER_CHUNK)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     places = [(c * PER_CHUNK + lane, s, F.lit(m)) for c, s in enumerate(SIGNATURE) for lane, m in enumerate(masks)]
@@ -193,38 +186,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_li
     entered = nodes.select("id", F.explode(keys).alias("key"))
     leads = entered.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").drop("last")
     members = materialise(entered.join(leads, "key"), "members")
-    info = nodes.select("id", "n", *SIGNATURE)
     sizes = nodes.select("id", "n")
     # the sets of all that share a key with another: the only time that texts are shuffled
-    own = members.select("id").distinct().join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "text")
-    sets = materialise(own.mapInArrow(_sets(width), f"id {kind}, hashes array<long>").dropDuplicates(["id"]), "sets")
-    side = lambda p, name: info.select(F.col("id").alias(name), F.col("n").alias(p + "n"), *[F.col(s).alias(p + s) for s in SIGNATURE])
+    own = members.select("id").distinct().join(nodes.select("id", "rep.doc_id", "rep.key"), "id").alias("r")
+    own = own.join(texts.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.key") == F.col("t.key"))).select("id", "text")
+    sets = materialise(own.mapInArrow(_sets(width), "id long, hashes array<long>").dropDuplicates(["id"]), "sets")
     star = members.filter("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(side("a_", "a"), "a").join(side("b_", "b"), "b").filter(_possible("a_", "b_", percent)).select("a", "b")
+    star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("b_n")), "b").filter(_possible(percent)).select("a", "b")
     links = _confirm(star, sizes, sets, percent, "star")
     labels = components(links)
     # keys that are not settled: their members across components
     placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unsettled = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 < c1 and m > 2").select("key")
-    open_ = materialise(placed.join(unsettled, "key").join(info, "id"), "open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("a_n"), *[F.col(s).alias("a_" + s) for s in SIGNATURE])
-    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("b_n"), *[F.col(s).alias("b_" + s) for s in SIGNATURE])
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("a_", "b_", percent)).select("a", "b").distinct()
+    open_ = materialise(placed.join(unsettled, "key").join(sizes, "id"), "open")
+    left = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("a_n"))
+    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("b_n"))
+    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
     across = across.join(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti")
     more = _confirm(across, sizes, sets, percent, "across")
     every = links.unionByName(more)
     final = components(every)
-    node_of = nodes.select("n", "h1", "h2", "id")
-    rows = signed.select("doc_id", "n", "h1", "h2").join(node_of, ["n", "h1", "h2"], "left").join(final, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")]
+    named = final.join(nodes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("first"))
+    node_of = nodes.select("n", "h1", "h2", "id", "least").join(final, "id", "left").join(named, "component", "left")
+    rows = signed.select("doc_id", "key", "n", "h1", "h2").join(node_of, ["n", "h1", "h2"], "left")
+    component = F.coalesce("first", "least", "doc_id")
+    columns = ["doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("class"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")]
     if not count_links:
         return rows.select(*columns)
-    # pairs inside a class, as far as no step has confirmed them
+    # pairs inside a class, as far as no step has confirmed them, each under the first key that both share
+    info = nodes.select("id", "n", *SIGNATURE)
     joined = materialise(members.select("key", "id").join(final, "id").join(info, "id"), "inside")
     half = lambda p, name: joined.select("key", "component", F.col("id").alias(name), F.col("n").alias(p + "n"), *[F.col(s).alias(p + s) for s in SIGNATURE])
     first = F.coalesce(*[F.when(F.col("a_" + s).bitwiseAND(m) == F.col("b_" + s).bitwiseAND(m), F.xxhash64(F.lit(i), F.col("a_" + s).bitwiseAND(m))) for i, s, m in places])
-    inside = half("a_", "a").join(half("b_", "b"), ["key", "component"]).filter((F.col("a") < F.col("b")) & (F.col("key") == first) & _possible("a_", "b_", percent)).select("a", "b")
+    inside = half("a_", "a").join(half("b_", "b"), ["key", "component"]).filter((F.col("a") < F.col("b")) & (F.col("key") == first) & _possible(percent)).select("a", "b")
     rest = _confirm(inside.join(every, ["a", "b"], "left_anti"), sizes, sets, percent, "inside")
     degree = every.unionByName(rest).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return rows.join(degree, "id", "left").select(*columns, F.coalesce("links", F.lit(0)).alias("n_links"))

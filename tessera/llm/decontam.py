@@ -6,9 +6,9 @@ share theirs, which makes them few. Documents are scanned once: fingerprints tha
 point to windows, whose full hashes are looked up in the benchmark's, and hits are extended over all their words.
 An item of fewer words than WIDTH is one window, looked up by its own length, without winnowing.
 
-The benchmark goes to the executors in blocks of at most BLOCK_WINDOWS windows (about 24 bytes each), one scan of
-the documents a block, so what is broadcast is bounded whatever the benchmark's size. Windows are compared by 64-bit
-hashes of their words.
+The benchmark goes to the executors in blocks of about BLOCK_WINDOWS windows (some 24 bytes each), one scan of the
+documents a block, and each block's hits are written out before the next block is collected: what is held by the driver
+and broadcast at any time is one block, whatever the benchmark's size. Windows are compared by 64-bit hashes of their words.
 
 Defined cases: null or wordless text has no words, no hits and no items; wordless items occur nowhere; repeated
 rows are judged one by one; an item_id that occurs twice counts once; empty tables give no rows or no hits; other
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .shared import own_columns, ship
+from .shared import materialise, own_columns, ship
 
 WIDTH = 13
 GRAM = 5
@@ -132,27 +132,29 @@ def _scan(index, width: int, gram: int, spans: bool):
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gram: int = GRAM, block_windows: int = BLOCK_WINDOWS, spans: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, items (array of item ids as strings), and with spans=True also `at`, the hit words' places."""
+    """doc_id, key (hash of the text), n_words, n_hit, items (array of item ids as strings), and with spans=True also `at`, the hit words' places."""
     spark = docs.sparkSession
     items = own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null")
-    schema = "item string, width int, h long, print long"
-    rows = items.mapInArrow(_item_windows(width, gram), schema)
+    rows = materialise(items.mapInArrow(_item_windows(width, gram), "item string, width int, h long, print long"), "benchmark-windows")
     blocks = max(1, -(-rows.count() // block_windows))
     text = own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, key long, n_words long, n_hit long, items array<string>"
     if blocks == 1:
         index = spark.sparkContext.broadcast(_block_index(rows.toArrow(), width))
-        return text.mapInArrow(_scan(index, width, gram, spans), out + (", at array<long>" if spans else "")).drop("key")
-    parts = []
-    for b in range(blocks):  # a block of items' windows is bounded: an item's windows are spread over blocks too
-        own = rows.filter(F.pmod(F.col("h"), F.lit(blocks)) == b).toArrow()
-        parts.append(text.mapInArrow(_scan(spark.sparkContext.broadcast(_block_index(own, width)), width, gram, True), out + ", at array<long>"))
-    hits = parts[0].filter("n_hit > 0")
-    for p in parts[1:]:
-        hits = hits.unionByName(p.filter("n_hit > 0"))
+        return text.mapInArrow(_scan(index, width, gram, spans), out + (", at array<long>" if spans else ""))
+    hits = words = None
+    for b in range(blocks):  # an item's windows are spread over blocks by their hashes
+        index = spark.sparkContext.broadcast(_block_index(rows.filter(F.pmod(F.col("h"), F.lit(blocks)) == b).toArrow(), width))
+        found = text.mapInArrow(_scan(index, width, gram, True), out + ", at array<long>")
+        found = materialise(found if words is None else found.filter("n_hit > 0"), f"hits-{b}")
+        index.destroy()
+        if words is None:
+            words = found.select("doc_id", "key", "n_words")
+        found = found.filter("n_hit > 0").drop("n_words")
+        hits = found if hits is None else hits.unionByName(found)
     hits = hits.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     none = F.array().cast("array<string>")
-    got = parts[0].select("doc_id", "key", "n_words").alias("a").join(hits.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.key").eqNullSafe(F.col("b.key")), "left")
+    got = words.alias("a").join(hits.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.key").eqNullSafe(F.col("b.key")), "left")
     at = F.coalesce(F.col("at"), F.array().cast("array<long>"))
-    return got.select("a.doc_id", "n_words", F.size(at).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), *[F.array_sort(at).alias("at")] * spans)
+    return got.select("a.doc_id", "a.key", "n_words", F.size(at).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), *[F.array_sort(at).alias("at")] * spans)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -18,12 +19,14 @@ def ship(module_name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the context's, else (tests only) a new temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's, else, in a single local JVM only, a new temporary one."""
     uri = spark.conf.get("spark.checkpoint.dir", None)
     if not uri:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         uri = known.get() if known.isDefined() else None
     if not uri:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(uri)
     return uri.rstrip("/")

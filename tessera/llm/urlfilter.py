@@ -2,8 +2,8 @@
 
 All glob rules are packed into one bit vector of 64-bit words, a start bit and a bit per literal for each rule.
 One Shift-And step per byte simulates all rules at once: shift left by one (with carries between words), keep the
-bits whose literal is the byte, and keep bits that a following `*` lets stand still. A whole batch of URLs runs side
-by side. Time is (URL bytes) x (words of the automaton), whatever the rules look like.
+bits whose literal is the byte, and keep bits that a following `*` lets stand still. As many URLs run side by side as
+STATE_BYTES of state allow. Time is (URL bytes) x (words of the automaton), whatever the rules look like.
 
 A URL's canonical form is its host, lower-cased, a separator byte that UTF-8 never has, and its path. A rule is a pair
 of globs, host and path; `*` in a host glob doesn't cross the separator. Domain rules (`example.net/en/`: this host
@@ -27,6 +27,8 @@ from . import kernels as k
 from .shared import own_columns, ship
 
 SEPARATOR = 0xFF
+#: Bytes of automaton state (its words and its rules, for each URL) held at once.
+STATE_BYTES = 64 << 20
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Host and path globs of what is blocked where no domain rule fits.
@@ -71,6 +73,10 @@ class Automaton:
             self.start[w] |= m
         self.finals = np.array(finals)
 
+    def side_by_side(self) -> int:
+        """How many strings may run at once."""
+        return max(1, STATE_BYTES // (8 * self.words + len(self.finals)))
+
     def run(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which of the globs fit each of the byte strings, as a matrix of booleans."""
         n = np.diff(offsets)
@@ -103,20 +109,22 @@ def _rule_globs(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def _judge(rules: Sequence[tuple[str, str]], blocked: Sequence[tuple[str, str]]):
     automaton = Automaton([*_rule_globs(rules), *blocked])
+    many = automaton.side_by_side()
     longest = sorted(range(len(rules)), key=lambda i: (-len(rules[i][0]), rules[i][0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[], []]
             for _, _, data, offsets in k.slices(batch.column(3)):
-                fit = automaton.run(data, offsets)
-                rule = np.full(len(fit), -1)
-                for i in reversed(longest):
-                    rule[fit[:, 2 * i] | fit[:, 2 * i + 1]] = i
-                block = fit[:, 2 * len(rules) :].any(axis=1)
-                for r, b in zip(rule.tolist(), block.tolist()):
-                    columns[0].append(rules[r][0] if r >= 0 else None)
-                    columns[1].append(rules[r][1] if r >= 0 else "block" if b else "allow")
+                for i in range(0, len(offsets) - 1, many):
+                    fit = automaton.run(data, offsets[i : i + many + 1])
+                    rule = np.full(len(fit), -1)
+                    for r in reversed(longest):
+                        rule[fit[:, 2 * r] | fit[:, 2 * r + 1]] = r
+                    block = fit[:, 2 * len(rules) :].any(axis=1)
+                    for r, b in zip(rule.tolist(), block.tolist()):
+                        columns[0].append(rules[r][0] if r >= 0 else None)
+                        columns[1].append(rules[r][1] if r >= 0 else "block" if b else "allow")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return run

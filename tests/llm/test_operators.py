@@ -94,11 +94,15 @@ def test_perplexity(spark, docs, empty, rows):
         wins = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
         hit = {j + d for j in range(len(w) - 7) if wins[tuple(w[j : j + 8])] > 1 for d in range(8)}
         r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(hit))
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        symbols = sum(x in "#*$%&|<>" for x in text or "")
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(hit), symbols, len(lines) - len(set(lines)))
         assert r["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
     sound = [r for r in got.values() if not r["base_failed"]]
     # the family of near copies is a fifth of this small table, and so its texts are predictable
     assert sum(r["kept"] for r in sound) > 0.8 * len(sound) and got[201]["perplexity"] is None
+    for r in sound:
+        assert r["kept"] == (r["low"] <= r["perplexity"] <= r["high"])
     assert perplexity.perplexity_bands(empty).count() == 0
 
 
@@ -114,6 +118,47 @@ def test_perplexity_rejects_gibberish(spark):
         assert sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 0.97 * 300
 
 
+def brute_kneser_ney(texts, order):
+    """Modified Kneser-Ney by its definition, over strings of bytes: {n-gram: probability of its last byte after the others}."""
+    counts = Counter()
+    for t in texts:
+        padded = b"\n" * (order - 1) + t
+        counts.update(padded[i : i + order] for i in range(len(t)))
+    levels = {order: counts}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    p = {}
+    for n in range(1, order + 1):
+        c = levels[n]
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        d = [0.0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i] if of[i] and of[i + 1] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            freed[g[:-1]] += d[min(x, 3)]
+        for g, x in c.items():
+            p[g] = (x - d[min(x, 3)] + freed[g[:-1]] * (p[g[1:]] if n > 1 else 1 / 256)) / total[g[:-1]]
+    return {g: p[g] for g in counts}
+
+
+def test_kneser_ney_is_its_definition(spark):
+    from tessera.llm import ngram_lm as lm
+
+    texts = ["to be or not to be, that is", "the question to be asked", "", "to be or to be", "é to be"]
+    df = spark.createDataFrame([(5, t) for t in texts], "grp bigint, text string")
+    counts = df.mapInArrow(lm.counter(), "tag int, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = {r["gram"].to_bytes(lm.ORDER, "big"): r["p"] for r in lm.kneser_ney(counts).collect()}
+    want = brute_kneser_ney([t.encode() for t in texts], lm.ORDER)
+    assert set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+    folder, shards = lm.save_arrays(lm.kneser_ney(counts).select(F.col("gram").alias("key"), F.col("p").alias("value")), "model-test")
+    arrays = lm.Arrays(folder, shards)
+    import numpy as np
+
+    x = np.array([int.from_bytes(g, "big") for g in want] * 2 + [0, 2**59])
+    assert np.allclose(arrays.get(x, 7.0), [want[g] for g in want] * 2 + [7.0, 7.0])
+
+
 def test_kneser_ney_sums_to_one(spark):
     from tessera.llm import ngram_lm as lm
 
@@ -180,6 +225,65 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.toxicity_scores(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
+def test_word_evidence_is_its_formula(spark):
+    """Discounted class probabilities with the corpus as backoff, and the shrinkage, by hand."""
+    import math
+
+    counts = [(1, 50, 20, 0), (2, 40, 0, 12), (3, 30, 10, 1), (4, 9, 0, 0), (5, 8, 1, 2), (6, 3, 0, 1), (7, 2, 2, 0)]
+    df = spark.createDataFrame(counts, "gram bigint, n bigint, n0 bigint, n1 bigint")
+    got = {r["key"]: r["value"] for r in toxicity._word_evidence(df, (40, 15)).collect()}
+    n = sum(c[1] for c in counts)
+    p = []
+    for c in (2, 3):
+        of = Counter(x[c] for x in counts)
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        d = [0.0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i] if of[i] and of[i + 1] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3)]
+        total, freed = sum(x[c] for x in counts), sum(d[min(x[c], 3)] for x in counts)
+        p.append({x[0]: (x[c] - d[min(x[c], 3)] + freed * x[1] / n) / total for x in counts})
+    want = {}
+    for g, _, n0, n1 in counts:
+        pool = (n0 + n1) / 55
+        z2 = (n1 - 15 * pool) ** 2 / (40 * 15 / 55 * pool * (1 - pool)) if n0 + n1 else 0
+        sure = max(0, 1 - toxicity.WORD_KAPPA**2 / z2) if z2 else 0
+        if sure >= toxicity.LEAST_SURE:
+            want[g] = sure * math.log2(p[1][g] / p[0][g])
+    assert 2 in want and want[2] > 0 and set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_evidence_counts_once_a_text():
+    import numpy as np
+
+    from tessera.llm import kernels as k
+
+    class Table:
+        def __init__(self, known, default):
+            self.known, self.default = known, default
+
+        def of(self, x, default):
+            return np.array([self.known.get(int(v), default) for v in x], np.float32)
+
+    texts = [b"bad bad good", b"", b"a bad"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.array([0, 12, 12, 17])
+    word = k.Words(np.frombuffer(b"bad", np.uint8), np.array([0, 3]), k.ALNUM_WORDS, lower=True).h & toxicity.WORD_BITS
+    e = toxicity.evidence_of(data, offsets, Table({}, 0.0), Table({int(word[0]): 6.0}, np.nan))
+    assert e[:3].tolist() == [2.0, 2.0, 2.0] and e[3:12].tolist() == [0.0] * 9 and e[14:].tolist() == [2.0, 2.0, 2.0]
+    mean, best = toxicity._means(e, offsets, 4)
+    assert np.allclose(mean, [0.5, 0.0, 1.2]) and np.allclose(best, [1.5, 0.0, 1.5])
+
+
+def test_toxicity_odd_rows(spark):
+    """String ids, rows without one, repeated rows, a very long text."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["stone", "river", "cloud", "walks", "under", "green", "seven", "paper"]) for _ in range(n))
+    rows = [(f"d{i}", f"{say(20)} {'grotbag' * (i % 4 == 0)} {say(20)}") for i in range(300)]
+    rows += [(None, say(30) + " grotbag"), (None, say(30)), ("long", say(30000) + " grotbag " + say(30000)), rows[4], rows[4], (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(300)] + [(None, 1), ("-1", 1)], "doc_id string, toxic int")
+    got = [(r["doc_id"], r["score"] >= 0.5) for r in toxicity.toxicity_scores(docs, labels).collect()]
+    assert Counter(got) == Counter((i, "grotbag" in (t or "")) for i, t in rows)
+
+
 def test_toxicity_known_by_three_bytes(spark):
     """The telling bytes have so many neighbours that no longer n-gram is sure."""
     rng = random.Random(6)
@@ -234,6 +338,31 @@ def test_all_links_are_counted(spark):
     assert got == {i: len(family) - 1 for i in range(2 * len(family))} | {2 * len(family): 0}
 
 
+def test_sixty_near_copies(spark):
+    """Each with three to five changed words of 300, about as many as a link bears: the links of each are counted as they are."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for j in rng.sample(range(300), 3 + i % 3):
+            own[j] = f"x{i}.{j}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(w[j : j + 3]) for j in range(298)} for w in (t.split() for _, t in rows)]
+    want = {i: sum(100 * len(a & b) >= 85 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
+    got = {r["doc_id"]: r["n_links"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == want and 0 < sum(want.values()) < 60 * 59
+
+
+def test_near_duplicates_odd_ids(spark):
+    """String ids, none, and one for two texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [("k", a), ("m", a + " end"), (None, a), ("m", b), (None, b + " end"), (None, c), (None, c), ("z", None), (None, "")]
+    got = [(r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 3, 85).collect()]
+    want = [("k", "k", True, 38), ("m", "k", False, 39), (None, "k", False, 38), ("m", "m", True, 38), (None, "m", False, 39), (None, None, True, 38), (None, None, True, 38), ("z", "z", True, 0), (None, None, True, 0)]
+    assert Counter(got) == Counter(want)
+
+
 def test_families_larger_than_a_block(docs, rows, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 700)
     want = classes_of(rows, 3, 85)
@@ -254,6 +383,23 @@ def test_quality_rules(spark, docs, empty):
     assert {r["score"] > 0.99 for r in rules.quality_scores(base, labels.filter("quality = 1"))[0].collect()} == {True}
 
 
+def test_quality_score_is_its_rules(spark, docs, rows):
+    """Every row, odd ones included, has the score that the rules listed give its statistics, and these are the text's."""
+    import math
+
+    labels = docs.filter("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).distinct()
+    scored, ensemble = rules.quality_scores(docs, labels)
+    got = scored.collect()
+    assert len(got) == len(rows) and ensemble.rules
+    texts = {i: t or "" for i, t, *_ in rows}
+    for r in got:
+        total = ensemble.intercept + sum(w for rule, w in ensemble.rules if all(r[rules.STATISTICS[i]] <= v if op == "<=" else r[rules.STATISTICS[i]] > v for i, op, v in rule))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-12
+        w, raw = words(texts[r["doc_id"]]), texts[r["doc_id"]].encode()
+        assert r["n_words"] == len(w) and abs(r["distinct"] - len(set(w)) / max(1, len(w))) < 1e-12 and abs(r["digits"] - sum(48 <= b < 58 for b in raw) / max(1, len(raw))) < 1e-12
+        assert abs(r["adjacent"] - sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w))) < 1e-12
+
+
 def test_rule_paths_merge_bounds():
     tree = "DecisionTree\n  If (feature 2 <= 1.5)\n   If (feature 2 <= 0.5)\n    Predict: 1.0\n   Else (feature 2 > 0.5)\n    Predict: 0.0\n  Else (feature 2 > 1.5)\n   Predict: 0.0\n"
     assert rules.paths(tree) == [((2, "<=", 0.5),), ((2, "<=", 1.5), (2, ">", 0.5)), ((2, ">", 1.5),)]
@@ -268,8 +414,30 @@ def test_sharding(docs, empty, rows):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
     ordered = [r["curve"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
     assert ordered == sorted(ordered)
+    # equal texts of a cell are neighbours
+    order = [(r["curve"], r["size"], r["text_crc32"]) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert len([1 for a, b in zip([None, *order], order) if a != b]) == len(set(order)) and len(set(order)) < len(order)
     assert sharding.hilbert_shards(empty).count() == 0
-    assert sharding.sharded_rows(docs).count() == len(rows)
+    whole = sharding.sharded_rows(docs)
+    assert whole.columns == [*docs.columns, "place"] and Counter(tuple(r)[:-1] for r in whole.collect()) == Counter((*r, 1, "x") for r in rows)
+
+
+def test_sharding_splits_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_SHARE", 10)
+    monkeypatch.setattr(sharding, "SALTS", 4)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i}", None if i % 2 else f"crawl-2020-{i % 4:02d}", None) for i in range(200)]
+    got = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string"), shards=4).collect()
+    hot = sorted(r["shard"] * 50 + r["slot"] for r in got if r["doc_id"] % 3 == 0)
+    assert sorted(r["shard"] * 50 + r["slot"] for r in got) == list(range(200)) and len(hot) == 67
+    # sources that differ in their last letters only lie in different cells
+    assert len({r["curve"] for r in got if r["doc_id"] % 6 == 0}) == 2
+
+
+def test_string_cuts(spark):
+    df = spark.createDataFrame([(x,) for x in "aabbbbbbcd"] + [(None,)], "v string")
+    assert sharding.string_cuts(df, F.col("v"), 4) == ["a", "b"]
+
+
 
 
 def test_hilbert_neighbours_touch():
@@ -347,6 +515,14 @@ def test_warc(spark):
     assert warc.write_archive(pages.limit(0)).records().count() == 0
 
 
+def test_warc_odd_ids(spark):
+    """String ids, none, and one with a line break."""
+    rows = [("b", "http://a.com/", "x"), ("a", "http://a.com/", "x"), (None, None, "x"), (None, "u", "y"), (None, "u", "y"), ("c\nd", "http://a.com/", "z")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload"]) for r in warc.write_archive(pages).records().collect()]
+    assert Counter(got) == Counter([("a", "response", None, "x"), ("b", "revisit", "a", ""), (None, "revisit", "a", ""), (None, "response", None, "y"), (None, "response", None, "y"), ("c\\nd", "response", None, "z")])
+
+
 def test_all_ten_queries_are_there():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)

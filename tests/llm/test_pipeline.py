@@ -25,6 +25,10 @@ def folder(spark, tmp_path_factory):
             text = say(30) + " " + item + " " + say(30)
         rows.append((i, text, "en", "big" if i % 3 else f"s{i % 4}", len(text)))
     rows += [rows[2], (300, None, None, None, 0), (301, "", "en", "s1", 0), (None, say(50), "en", "s1", 5)]
+    # rows without an id are judged as others; the item is less than a twentieth of a long text; an id of two texts
+    rows += [(None, say(60) + " grotbag grotbag " + say(9), "en", "s1", 5), (None, rows[2][1], "en", "s1", 5), (None, say(50) + " " + item, "en", "s1", 5)]
+    rows += [(310, say(900) + " " + item + " " + say(900), "en", "s1", 5), (311, say(70), "en", "s2", 5), (311, rows[6][1] + " tail", "en", "s2", 5)]
+    rows += [(None, rows[-2][1] + " tail", "en", "s3", 5), (None, rows[-2][1] + " tail", "en", "s3", 5)]
     path = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, int("grotbag" in rows[i][1])) for i in range(240)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -46,8 +50,10 @@ def test_stages(spark, folder):
     assert plain.columns == COLUMNS and Counter(left) == Counter(r for r in rows if "grotbag" not in (r[1] or ""))
     once = stage(1, plain)
     got = Counter(tuple(r) for r in once.collect())
-    classes = classes_of([r for r in left if r[0] is not None], 5, 80)
-    assert got == Counter({r: 1 for r in left if r[0] is None or classes[r[0]][1] == r[0]})
+    # of a class, the first by id, where ids come before none; numbers stand for the rows
+    order = sorted(set(left), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    classes = classes_of(list(enumerate(r[1] for r in order)), 5, 80)
+    assert got == Counter({r: 1 for i, r in enumerate(order) if classes[i][1] == i})
     clean = stage(2, once)
     kept = [tuple(r) for r in clean.collect()]
     item = " ".join(words(spark.read.parquet(f"{path}/benchmark.parquet").first()["text"]))
@@ -61,7 +67,9 @@ def test_stages(spark, folder):
     for r, n in copies.items():
         taken[r[3]] += n * len(words(r[1]))
     assert all(abs(taken[s] - t) <= 80 for s, t in target_of(sizes).items())
-    shards = Counter(r["shard"] for r in stage(4, mixed).collect())
+    last = stage(4, mixed)
+    assert Counter(tuple(r) for r in last.select(COLUMNS).collect()) == copies
+    shards = Counter(r["shard"] for r in last.collect())
     assert sum(shards.values()) == sum(copies.values()) and max(shards.values()) - min(shards.values()) <= 1
 
 

@@ -145,15 +145,15 @@ def _met(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, name: str, families: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of their full sets.
 
-    Sets don't travel with pairs but with blocks: the members of a family (a component of the candidate pairs) are
-    dealt into blocks of about BLOCK shingles, small families share a block, and the pairs of two blocks are one group,
+    Sets don't travel with pairs but with blocks: the members of a family (a component of the candidate pairs, or what
+    families (id, component) says, if it is known that no pair is of two) are dealt into blocks of about BLOCK shingles, small families share a block, and the pairs of two blocks are one group,
     to which each set goes once. So a set is sent once per block of its family, not once per pair.
     """
     pairs = materialise(pairs, f"pairs-{name}")
-    families = components(pairs)
+    families = components(pairs) if families is None else families
     member = families.join(sizes, "id")
     weight = member.groupBy("component").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
     small = weight.filter("blocks = 1").agg(F.sum("w")).first()[0] or 0
@@ -219,6 +219,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_li
     half = lambda p, name: joined.select("key", "component", F.col("id").alias(name), F.col("n").alias(p + "n"), *[F.col(s).alias(p + s) for s in SIGNATURE])
     first = F.coalesce(*[F.when(F.col("a_" + s).bitwiseAND(m) == F.col("b_" + s).bitwiseAND(m), F.xxhash64(F.lit(i), F.col("a_" + s).bitwiseAND(m))) for i, s, m in places])
     inside = half("a_", "a").join(half("b_", "b"), ["key", "component"]).filter((F.col("a") < F.col("b")) & (F.col("key") == first) & _possible(percent)).select("a", "b")
-    rest = _confirm(inside.join(every, ["a", "b"], "left_anti"), sizes, sets, percent, "inside")
+    rest = _confirm(inside.join(every, ["a", "b"], "left_anti"), sizes, sets, percent, "inside", final)
     degree = every.unionByName(rest).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return rows.join(degree, "id", "left").select(*columns, F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -6,7 +6,8 @@ same anchor, stretched over all their words (at most 2 * WIDTH - GRAM words betw
 each block that the index holds for a smaller doc_id by a copy: a greedy factor is a run of such blocks, so all
 windows inside factors are known from one entry per block (about one per 20 words), not one per word. Where a factor
 ends, a window may straddle equal and unequal words. Its anchor then occurs in both documents, but in unequal blocks:
-only such blocks, at factor boundaries, are opened, and their windows are compared one by one. So the result is exact:
+only such blocks, at factor boundaries, are opened, and their windows are compared one by one. So the result is exact
+(factors() lists the parse itself, each factor with the document and place that it copies from):
 a word goes if and only if a window of WIDTH words that covers it starts in a document with a smaller doc_id.
 
 Documents with equal word sequences are parsed once; the others among them are one factor. All comparisons are
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as k
@@ -118,8 +119,8 @@ def _open(width: int, gram: int):
     return run
 
 
-def _cut(width: int, gram: int):
-    """Texts without the words of the listed blocks and windows."""
+def _cut(width: int, gram: int, texts: bool):
+    """Texts without the words of the listed blocks and windows: how many are gone, the hash of what is left and, if asked for, that itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,12 +148,49 @@ def _cut(width: int, gram: int):
                     left = (np.flatnonzero(keep[w.first[i] : w.first[i + 1]]) + w.first[i]).tolist()
                     joined = b" ".join([raw[s[j] : e[j]] for j in left])
                     sha.append(hashlib.sha256(joined).digest())
-                    kept.append(joined.decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(k.sums_by_text(gone, w.first)), pa.array(sha, pa.binary()), pa.array(kept, pa.string())], ["doc_id", "key", "n_removed", "sha", "kept"])
+                    if texts:
+                        kept.append(joined.decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(k.sums_by_text(gone, w.first)), pa.array(sha, pa.binary()), *[pa.array(kept, pa.string())] * texts], ["doc_id", "key", "n_removed", "sha", *["kept"] * texts])
 
     return run
 
 
+def _places(width: int, gram: int):
+    """Of each text: its blocks' hashes, with the places of their first words and their numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in k.slices(batch.column(2)):
+                w = k.Words(data, offsets, k.BLANK_WORDS)
+                start, stop, _, whole = _blocks(w, width, gram)
+                doc = np.searchsorted(w.first, start, "right") - 1
+                counts = np.bincount(doc, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), k.lists(k.signed(whole), counts), k.lists(start - w.first[doc], counts), k.lists(stop - start + width - 1, counts)], ["doc_id", "key", "blocks", "at", "words"])
+
+    return run
+
+
+def factors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The parse itself: doc_id, key, at, words, ref_doc, ref_at of every factor, a stretch of words of a document that is in the reference document too.
+
+    Each block copies from its first place in the document with the smallest id; consecutive blocks that copy from
+    consecutive places are one factor. Words of factors are all removed by repeated_words(), which also opens the
+    blocks at their boundaries and so finds windows that straddle two blocks.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = own_columns(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    found = materialise(text.mapInArrow(_places(width, gram), f"doc_id {kind}, key long, blocks array<long>, at array<long>, words array<long>"), "places")
+    entries = found.select("doc_id", "key", F.posexplode(F.arrays_zip("blocks", "at", "words")).alias("i", "x")).select("doc_id", "key", "i", F.col("x.blocks").alias("block"), F.col("x.at").alias("at"), F.col("x.words").alias("words"))
+    index = entries.groupBy("block").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("hi")).filter("ref.doc_id < hi").select("block", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
+    copied = entries.join(index, "block").filter("doc_id > ref_doc").distinct()
+    # runs of neighbours: number in the document less number in the run's own order stays the same
+    same = ["doc_id", "key", "ref_doc", "shift"]
+    rows = copied.withColumn("shift", F.col("ref_at") - F.col("at"))
+    rows = rows.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*same).orderBy("i")))
+    by = rows.groupBy(*same, "run").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("words")).alias("stop"))
+    return by.select("doc_id", "key", "at", (F.col("stop") - F.col("at")).alias("words"), "ref_doc", (F.col("at") + F.col("shift")).alias("ref_at"))
+
+
 def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with texts=True also `kept`, the words left, joined by a space (null: all or none of them were left)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -176,7 +214,7 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
     least = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
     alone = windows.join(least, "h").filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("h").alias("alone"))
     work = needed.drop("open").join(alone, ["doc_id", "key"], "left").filter(F.col("alone").isNotNull() | (F.size("copies") > 0))
-    cut = work.select("doc_id", "key", "text", "copies", "alone").mapInArrow(_cut(width, gram), head + "n_removed long, sha binary, kept string")
+    cut = work.select("doc_id", "key", "text", "copies", "alone").mapInArrow(_cut(width, gram, texts), head + "n_removed long, sha binary" + ", kept string" * texts)
     cut = cut.select("doc_id", "key", F.col("n_removed").alias("gone"), F.col("sha").alias("cut_sha"), *["kept"] * texts).dropDuplicates(["doc_id", "key"])
     out = rows.join(cut, ["doc_id", "key"], "left")
     sha = F.when(F.col("whole"), F.lit(NOTHING)).otherwise(F.coalesce("cut_sha", "sha"))

@@ -205,6 +205,21 @@ def test_mixing(docs, empty, rows):
         taken[r["source"]] += r["taken"]
     largest = max(len(words(t)) for _, t, *_ in rows)
     assert all(abs(taken[s] - want[s]) <= (largest if s == "hot" else 310) for s in want)
+    # rates are the solved dual's: found here by bisection over the documents themselves
+    import math
+
+    for source, total in sizes.items():
+        own = [r for r in got if r["source"] == source]
+        mean = max(total, 1) / len(own)
+        rate = lambda tilt, r: 2 / (1 + math.exp(-max(min(tilt * r["size"] / mean, 700), -700)))
+        if want[source] >= 2 * total:
+            assert all(r["rate"] == 2 for r in own)
+            continue
+        lo, hi = -1000.0, 1000.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(rate(mid, r) * r["size"] for r in own) < want[source] else (lo, mid)
+        assert all(abs(r["rate"] - rate(lo, r)) < 1e-5 for r in own)
     again = mixing.entropy_mix(docs.repartition(7)).collect()
     assert Counter(map(repr, got)) == Counter(map(repr, again))
     assert mixing.entropy_mix(empty).count() == 0
@@ -492,6 +507,32 @@ def test_substrings(docs, empty, rows):
     assert kept and all(hashlib.sha256(t.encode()).hexdigest() == want[i][2] for i, t in kept.items())
 
 
+def test_factors_are_copies(docs, rows):
+    """Each factor's words are those of the reference at its place, and go; what goes besides lies within a window of a factor or block boundary."""
+    text = defaultdict(list)
+    for i, t, *_ in rows:
+        text[i].append(words(t))
+    first = {}
+    for i in sorted(text):
+        for w in text[i]:
+            for j in range(len(w) - 49):
+                first.setdefault(tuple(w[j : j + 50]), i)
+    got = substrings.factors(docs).collect()
+    covered = Counter()
+    for r in got:
+        own, ref = text[r["doc_id"]][0], text[r["ref_doc"]][0]
+        assert r["ref_doc"] < r["doc_id"] and r["words"] >= 50
+        assert own[r["at"] : r["at"] + r["words"]] == ref[r["ref_at"] : r["ref_at"] + r["words"]]
+        covered[r["doc_id"]] += 1
+    for i, (w, *_) in text.items():
+        gone = {j + d for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i for d in range(50)}
+        spans = {j for r in got if r["doc_id"] == i for j in range(r["at"], r["at"] + r["words"])}
+        assert spans <= gone
+    whole = [r for r in got if r["words"] == len(text[r["doc_id"]][0])]
+    assert len(covered) > 20 and len(whole) > 3 and len(got) < 3 * len(covered)
+    assert substrings.factors(docs.limit(0)).count() == 0
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>b</p>", None, "", "<p>a</p>", "é" * 5000] + ["hot"] * 40
     urls = ["http://b.example.org/x?q=1", "https://B.example.org:80/x?q=1#f", None, "", "http://a.com/\nz"] + [f"http://a.com/{i}" for i in range(41)]

@@ -15,6 +15,12 @@ def _axis(found: Column, name: str) -> Column:
     return F.when(raw.isNull(), 1).when(number.isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), F.floor(number)))).cast("int")
 
 
+def chosen(questions: DataFrame, difficulties: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """FLT18: questions (ord, difficulty, ...) of these difficulties, the first `limit` of them by ord."""
+    rows = questions if not difficulties else questions.filter(F.col("difficulty").isin(difficulties))
+    return rows.orderBy("ord").limit(limit) if limit else rows
+
+
 def judge_scores(replies: DataFrame) -> DataFrame:
     """EVL1, EVL2: id, the axes and parse_failed from judges' replies (id, reply): the first {...} in them, read as JSON; no reply is a failure, not a score."""
     found = F.regexp_extract(F.coalesce("reply", F.lit("")), r"(?s)\{.*?\}", 0)

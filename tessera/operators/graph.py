@@ -6,25 +6,34 @@ state with checkpoint(), so a lost executor costs a re-read; the frontier, not t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import tempfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.udfs import lcs_ratio, lookup_score
+from ..functions.udfs import lookup_score, ratio
 
 EDGE = ["src", "dst", "relation", "source_file", "page", "sentence", "extractor", "ord"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the cluster's folder; where none is set (tests), in a new temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors share; where none is set, a new temporary one, in a single local JVM only."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -68,67 +77,91 @@ def _character_bound(a: Column, b: Column) -> Column:
     return shared + F.least(other(a), other(b))
 
 
-def merge_candidates(counts: DataFrame, least: float = 90.0) -> DataFrame:
-    """Pairs of keys whose ratio may reach `least`, found without comparing all keys.
-
-    ratio = 200 * LCS / (la + lb) >= 90 bounds the edits: la + lb - 2 * LCS <= (la + lb) / 10. Cut both keys' text
-    into pieces: d deletions leave one of d + 1 equal pieces of the shorter key intact in the longer one, at an offset
-    shifted by at most d. Each key enters its own pieces (by total length class and piece number); each key looks up its substrings at
-    the shifted places. Lossless, and an equi-join.
-    """
-    keys = counts.select("key", F.length("key").alias("n"))
+def _pieces(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(short's own pieces, long's substrings at the places where they may be found), both by sn, p, piece."""
+    keys = keys.withColumn("n", F.length("key"))
     # edits allowed between a key of length n and any partner: partners are at most 11/9 as long
-    keys = keys.withColumn("d", F.floor((F.col("n") + F.floor(F.col("n") * 11 / 9)) / 10).cast("int"))
-    pieces = keys.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("from", F.floor(F.col("p") * F.col("n") / (F.col("d") + 1)).cast("int")).withColumn("to", F.floor((F.col("p") + 1) * F.col("n") / (F.col("d") + 1)).cast("int"))
-    pieces = pieces.filter("to > from").select(F.col("key").alias("short"), F.col("n").alias("sn"), "p", F.col("key").substr(F.col("from") + 1, F.col("to") - F.col("from")).alias("piece"))
+    own = keys.withColumn("d", F.floor((F.col("n") + F.floor(F.col("n") * 11 / 9)) / 10).cast("int"))
+    own = own.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("from", F.floor(F.col("p") * F.col("n") / (F.col("d") + 1)).cast("int")).withColumn("to", F.floor((F.col("p") + 1) * F.col("n") / (F.col("d") + 1)).cast("int"))
+    own = own.filter("to > from").select(F.col("key").alias("short"), F.col("stem").alias("s_stem"), F.col("v").alias("s_v"), F.col("n").alias("sn"), "p", F.col("key").substr(F.col("from") + 1, F.col("to") - F.col("from")).alias("piece"))
     # a longer (or equally long) key looks for the pieces of every shorter length it may be merged with
-    probe = keys.select(F.col("key").alias("long"), F.col("n").alias("ln"), F.explode(F.sequence(F.ceil(F.col("n") * 9 / 11).cast("int"), F.col("n"))).alias("sn"))
+    probe = keys.select(F.col("key").alias("long"), F.col("stem").alias("l_stem"), F.col("v").alias("l_v"), F.col("n").alias("ln"), F.explode(F.sequence(F.ceil(F.col("n") * 9 / 11).cast("int"), F.col("n"))).alias("sn"))
     probe = probe.withColumn("d", F.floor((F.col("sn") + F.floor(F.col("sn") * 11 / 9)) / 10).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d"))))
     probe = probe.withColumn("from", F.floor(F.col("p") * F.col("sn") / (F.col("d") + 1)).cast("int")).withColumn("to", F.floor((F.col("p") + 1) * F.col("sn") / (F.col("d") + 1)).cast("int")).filter("to > from")
     probe = probe.withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).filter("`from` + shift >= 0 and `to` + shift <= ln")
-    probe = probe.select("long", "ln", "sn", "p", F.col("long").substr(F.col("from") + F.col("shift") + 1, F.col("to") - F.col("from")).alias("piece"))
-    pairs = probe.join(pieces, ["sn", "p", "piece"]).filter("long <> short").select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
+    return own, probe.select("long", "l_stem", "l_v", "ln", "sn", "p", F.col("long").substr(F.col("from") + F.col("shift") + 1, F.col("to") - F.col("from")).alias("piece"))
+
+
+def merge_candidates(counts: DataFrame, least: float = 90.0, clash_with: DataFrame | None = None) -> DataFrame:
+    """Pairs of keys (a < b) whose ratio may reach `least`, found without comparing all keys.
+
+    ratio = 200 * LCS / (la + lb) >= 90 bounds the edits: la + lb - 2 * LCS <= (la + lb) / 10. Cut both keys' text
+    into pieces: d deletions leave one of d + 1 equal pieces of the shorter key intact in the longer one, at an offset
+    shifted by at most d. Each key enters its own pieces (by total length class and piece number); each key looks up
+    its substrings at the shifted places. Lossless, and an equi-join.
+
+    Pairs whose versions clash never merge, so they aren't sought at all: versions are part of the join's key, and
+    thousands of names that differ in their number don't meet. clash_with: the other pairs, those that clash, of the
+    keys in this table with any.
+    """
+    stem, version = t.version_parts(F.col("key"))
+    keys = counts.select("key", stem.alias("stem"), F.coalesce(version, F.lit("")).alias("v"))
+    own, probe = _pieces(keys)
+    on = ["sn", "p", "piece"]
+    one = ((F.col("s_v") == "") != (F.col("l_v") == ""))
+    if clash_with is None:
+        same = probe.withColumn("v", F.col("l_v")).join(own.withColumn("v", F.col("s_v")), [*on, "v"]).select("long", "short")
+        bare_l = probe.filter("l_v = ''").join(own.filter("s_v <> ''"), on).filter("l_stem <> s_stem").select("long", "short")
+        bare_s = probe.filter("l_v <> ''").join(own.filter("s_v = ''"), on).filter("l_stem <> s_stem").select("long", "short")
+        met = same.unionByName(bare_l).unionByName(bare_s)
+    else:
+        clash = (~one & (F.col("s_v") != F.col("l_v"))) | (one & (F.col("s_stem") == F.col("l_stem")))
+        some = clash_with.select("key").distinct()
+        met = probe.join(some.withColumnRenamed("key", "long"), "long", "left_semi").join(own, on).filter(clash).select("long", "short")
+        met = met.unionByName(probe.join(own.join(some.withColumnRenamed("key", "short"), "short", "left_semi"), on).filter(clash).select("long", "short"))
+    pairs = met.filter("long <> short").select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
     return pairs.filter(_character_bound(F.col("a"), F.col("b")) * 200 >= (F.length("a") + F.length("b")) * least)
 
 
 def canonicalise(counts: DataFrame, least: float = 90.0) -> DataFrame:
-    """GRA2: key, canonical. Greedy in order of frequency (ties: first seen): a form without its initials joins their owner; else the most
-    similar earlier canonical form of ratio >= 90 (ties: the earlier), unless versions differ; else it is a new one.
+    """GRA2: key, canonical. Greedy in order of frequency (ties: first seen): a form joins the canonical form that is the same
+    without initials; else the most similar canonical form of ratio >= 90 (ties: the earlier), unless their versions clash; else it is a new one.
 
-    Decisions reach only along candidate links, so connected groups of candidates are independent: each is folded by itself.
+    The greedy order is kept by rounds: in each, those keys decide whose similar earlier keys have all decided (and the
+    first undecided of those that are the same without initials). So no group of keys is ever folded in one task, and
+    the number of rounds is the length of the longest chain of dependent decisions, not the number of keys.
     """
-    pairs = checkpointed(merge_candidates(counts, least))
-    bare = counts.select("key", t.strip_initials(F.col("key")).alias("bare")).filter("bare <> ''")
-    initials = bare.alias("x").join(bare.alias("y"), (F.col("x.bare") == F.col("y.bare")) & (F.col("x.key") != F.col("y.key"))).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-    groups = components(pairs.unionByName(initials).distinct())
-    stem, version = t.version_parts(F.col("key"))
-    rows = counts.join(groups, "key").select("component", "key", "n", "first", stem.alias("stem"), version.alias("version"), t.strip_initials(F.col("key")).alias("bare"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        canonical: list[tuple] = []
-        owner: dict[str, str] = {}
-        out = []
-        for r in pdf.sort_values(["n", "first"], ascending=[False, True]).itertuples():
-            target = owner.get(r.bare)
-            if target is None:
-                best = least
-                for c in canonical:
-                    if abs(len(c[0]) - len(r.key)) * 10 > len(c[0]) + len(r.key):
-                        continue
-                    a, b = c[2], r.version
-                    conflict = (a and b and a != b) or (bool(a) != bool(b) and c[1] == r.stem)
-                    score = lcs_ratio(c[0], r.key)
-                    if not conflict and (score > best or (score == best and target is None)):
-                        best, target = score, c[0]
-            if target is None:
-                target = r.key
-                canonical.append((r.key, r.stem, r.version))
-                owner[r.bare] = r.key
-            out.append((r.key, target))
-        return pd.DataFrame(out, columns=["key", "canonical"])
-
-    merged = rows.groupBy("component").applyInPandas(fold, "key string, canonical string")
-    return counts.select("key").join(merged, "key", "left").select("key", F.coalesce("canonical", "key").alias("canonical"))
+    place = F.struct((-F.col("n")).alias("n"), "first", "key")
+    bare = F.coalesce(F.nullif(t.strip_initials(F.col("key")), F.lit("")), F.col("key"))
+    keys = checkpointed(counts.select("key", place.alias("at"), bare.alias("bare")))
+    score = lambda pairs, clash: pairs.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least).withColumn("clash", F.lit(clash))
+    merging = checkpointed(score(merge_candidates(keys, least), False))
+    ends = keys.select("key", "at")
+    placed = lambda pairs: pairs.join(ends.select(F.col("key").alias("a"), F.col("at").alias("at_a")), "a").join(ends.select(F.col("key").alias("b"), F.col("at").alias("at_b")), "b")
+    a_first = F.col("at_a") < F.col("at_b")
+    directed = lambda pairs: placed(pairs).select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("key"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("to"), F.least("at_a", "at_b").alias("to_at"), "ratio", "clash")
+    links = directed(merging)
+    # a clash with the most similar form keeps a key that could join another from merging
+    later = checkpointed(links.select("key").distinct())
+    clashing = directed(score(merge_candidates(keys, least, clash_with=later), True)).join(later, "key", "left_semi")
+    links = checkpointed(links.unionByName(clashing))
+    shared = keys.groupBy("bare").agg(F.count("*").alias("m")).filter("m > 1").select("bare")
+    involved = keys.join(later, "key", "left_semi").unionByName(keys.join(shared, "bare", "left_semi").select("key", "at", "bare")).unionByName(keys.join(links.select(F.col("to").alias("key")).distinct(), "key", "left_semi")).distinct()
+    state = checkpointed(involved.withColumn("canonical", F.lit(None).cast("string")))
+    while True:
+        owners = state.filter("canonical = key").groupBy("bare").agg(F.min_by("key", "at").alias("owner"))
+        state = state.join(owners, "bare", "left").select("key", "at", "bare", F.coalesce("canonical", "owner").alias("canonical"))
+        open_ = checkpointed(state.filter("canonical is null"))
+        if open_.isEmpty():
+            break
+        waits = links.join(open_.select(F.col("key").alias("to")), "to", "left_semi").select("key").distinct()
+        turn = open_.groupBy("bare").agg(F.min("at").alias("at"))
+        active = open_.join(turn, ["bare", "at"], "left_semi").join(waits, "key", "left_anti")
+        forms = state.filter("canonical = key").select(F.col("key").alias("to"))
+        nearest = links.join(active.select("key"), "key", "left_semi").join(forms, "to", "left_semi").groupBy("key").agg(F.min_by(F.struct("to", "clash"), F.struct((-F.col("ratio")).alias("r"), "to_at")).alias("best"))
+        made = active.join(nearest, "key", "left").select("key", F.when(~F.col("best.clash"), F.col("best.to")).otherwise(F.col("key")).alias("made"))
+        state = checkpointed(state.join(made, "key", "left").select("key", "at", "bare", F.coalesce("canonical", "made").alias("canonical")))
+    return counts.select("key").join(state.select("key", "canonical"), "key", "left").select("key", F.coalesce("canonical", "key").alias("canonical"))
 
 
 def variant_pairs(keys: DataFrame) -> DataFrame:
@@ -154,12 +187,18 @@ def nodes_of(edges: DataFrame, names: DataFrame) -> DataFrame:
     return grouped.join(names.withColumnRenamed("canonical", "key"), "key", "left").select("key", F.coalesce("name", "key").alias("name"), "aliases", "mentions", "sources", "ord")
 
 
-def build(triples: DataFrame, merge: bool = True) -> tuple[DataFrame, DataFrame]:
-    """GRA1, GRA13: (nodes, edges) of triples; variants are linked both ways after all other edges."""
+def build(triples: DataFrame, merge: bool = True, variants: bool = True) -> tuple[DataFrame, DataFrame]:
+    """GRA1, GRA13: (nodes, edges) of triples; variants are linked both ways after all other edges.
+
+    All pairs of a stem are linked, so what a stem of very many versions gives is quadratic in their number, by
+    definition; variants=False leaves these edges out.
+    """
     valid = checkpointed(valid_triples(triples))
     canon = checkpointed(canonicalise(entity_counts(valid)) if merge else identity_canon(valid))
     edges = edges_of(valid, canon)
     nodes = nodes_of(edges, display_names(valid, canon))
+    if not variants:
+        return nodes, edges.select(*EDGE)
     have = nodes.select("key")
     pairs = variant_pairs(canon).join(have.withColumnRenamed("key", "a"), "a", "left_semi").join(have.withColumnRenamed("key", "b"), "b", "left_semi")
     last = F.lit(2**40)
@@ -247,7 +286,7 @@ MENTION_BLOCK = 10_000
 def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bool = True) -> DataFrame:
     """GRA10, JOIN4-6: mention -> key, score: the key itself, else an alias (first node), else the best fuzzy match.
 
-    Fuzzy scoring is exhaustive, all nodes for each of a stated set of mentions, in blocks of mentions, and only for those that nothing exact settled.
+    Only mentions that nothing exact settled are scored: see similar().
     """
     keyed = mentions.select("mention", t.normalise_entity(F.col("mention")).alias("q"))
     alias = nodes.select(F.explode("aliases").alias("alias"), "key", "ord").withColumn("q", t.normalise_entity(F.col("alias")))
@@ -256,11 +295,28 @@ def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bo
     if not fuzzy:
         return found
     rest = checkpointed(keyed.join(found, "mention", "left_anti"))
-    blocks = max(1, -(-rest.count() // MENTION_BLOCK))
+    scored = similar(rest, nodes.select("key", "ord"), least)
+    best = scored.groupBy("mention").agg(F.max_by("key", F.struct("score", -F.col("ord"))).alias("key"), F.max("score").alias("score"))
+    return found.unionByName(best)
+
+
+def similar(mentions: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """mention, key, ord, score of all nodes (key, ord) whose lenient score reaches `least`, for a stated set of mentions (mention, q).
+
+    Exhaustive, in blocks of MENTION_BLOCK mentions; a node meets the scoring function only if both have the characters
+    or a word in common without which no part of the score can reach `least`.
+    """
+    blocks = max(1, -(-mentions.count() // MENTION_BLOCK))
+    la, lb = F.length("q"), F.length("key")
+    both, short = _character_bound(F.col("q"), F.col("key")), F.least(la, lb)
+    words = F.arrays_overlap(F.split("q", " "), F.split("key", " "))
+    # plain and sorted-token ratios; a shared word; a part of the longer one (0.9 of its ratio at most)
+    may = (both * 200 >= (la + lb) * least) | words | ((F.greatest(la, lb) >= short * 1.5) & (both * 100 >= short * (least / 0.9)))
+    found = None
     for b in range(blocks):
-        own = rest.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b)
-        scored = nodes.select("key", "ord").join(F.broadcast(own), F.lit(True)).withColumn("score", lookup_score("q", "key")).filter(F.col("score") >= least)
-        found = found.unionByName(scored.groupBy("mention").agg(F.max_by("key", F.struct("score", -F.col("ord"))).alias("key"), F.max("score").alias("score")))
+        own = mentions.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b).select("mention", "q")
+        scored = nodes.join(F.broadcast(own), may).withColumn("score", lookup_score("q", "key")).filter(F.col("score") >= least).select("mention", "key", "ord", "score")
+        found = scored if found is None else found.unionByName(scored)
     return found
 
 
@@ -285,6 +341,7 @@ def neighbours(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 2
     kind = "array<struct<from:string,to:string,relation:string,direction:string,source_file:string,page:int,sentence:string,extractor:string>>"
     front = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("front_ord"), F.array().cast(kind).alias("path"))
     visited = front.select("start", "node")
+    done = starts.select("start").withColumn("done", F.lit(0).cast("long")).limit(0)
     found: DataFrame | None = None
     for hop in range(1, hops + 1):
         reach = front.join(adj, "node").join(visited.select("start", F.col("node").alias("nbr")), ["start", "nbr"], "left_anti")
@@ -293,14 +350,19 @@ def neighbours(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 2
         # the winning (parent, direction) of each new node: an aggregation, then its rows
         rank = F.struct("front_ord", "dir", "pair_ord")
         reach = reach.withColumn("won", F.min(rank).over(Window.partitionBy("start", "nbr"))).filter(rank == F.col("won"))
+        # what is emitted stops at `most` rows of a start, so no later row of this hop, and no later hop, is built for it
+        place = F.row_number().over(Window.partitionBy("start").orderBy("won", "ord"))
+        reach = reach.withColumn("place", place).filter(F.col("place") <= most).join(done, "start", "left").withColumn("emitted", F.col("place") + F.coalesce("done", F.lit(0))).filter(F.col("emitted") <= most)
         reach = reach.withColumn("path", F.concat("path", F.array(step.cast(kind[6:-1])))).withColumn("hop", F.lit(hop))
-        reach = checkpointed(reach.select("start", F.col("nbr").alias("key"), "hop", "path", "won", "ord"))
+        reach = checkpointed(reach.select("start", F.col("nbr").alias("key"), "hop", "path", "won", "ord", "emitted"))
         found = reach if found is None else found.unionByName(reach)
+        if hop == hops:
+            break
+        done = found.groupBy("start").agg(F.max("emitted").cast("long").alias("done"))
         first = reach.groupBy("start", "key").agg(F.min_by("path", "ord").alias("path"), F.min("won").alias("won"))
-        front = first.select("start", F.col("key").alias("node"), F.row_number().over(Window.partitionBy("start").orderBy("won")).cast("long").alias("front_ord"), "path")
+        front = first.join(done.filter(F.col("done") < most), "start").select("start", F.col("key").alias("node"), F.row_number().over(Window.partitionBy("start").orderBy("won")).cast("long").alias("front_ord"), "path")
         visited = visited.unionByName(front.select("start", "node"))
-    order = F.row_number().over(Window.partitionBy("start").orderBy("hop", "won", "ord"))
-    return found.withColumn("emitted", order).filter(F.col("emitted") <= most).select("start", "key", "hop", "path", "emitted")
+    return found.select("start", "key", "hop", "path", F.col("emitted").cast("int").alias("emitted"))
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:

@@ -84,3 +84,10 @@ def first_pages(spark: SparkSession) -> DataFrame:
         ("c", [""]),
     ]
     return spark.createDataFrame(rows, "source_file string, pages array<string>")
+
+
+#: 960 characters of words and a newline come before the heading; an appendix is no reference.
+REFERENCES_SQL = """SELECT doc, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end" FROM (VALUES ('plain', NULL, NULL), ('cited', 961, 983), ('appendix', 961, 984), ('early', NULL, NULL), ('numbered', 961, 988), ('empty', NULL, NULL)) v(doc, s, e)"""
+ORDER_SQL = """SELECT doc, 1 AS page, array_to_string(t, chr(10) || chr(10)) AS text FROM (VALUES ('a', ['Title', 'left 0', 'left 1', 'left 2', 'right 0', 'right 1', 'right 2']), ('b', ['first', 'second'])) v(doc, t)"""
+RULES_SQL = """SELECT * FROM (VALUES (0, 'Orion', 'outperforms', 'Vega'), (1, 'Stone et al.', 'proposes', 'Vega encoder'), (2, 'Orion', 'trained_on', 'public Lyra corpus'),
+  (3, 'Mira', 'outperforms', 'Vega'), (4, 'Orion', 'extends', 'Vega')) v(sent_index, subject, relation, object)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking, cleaning, corpus, evaluation, extraction, graph, retrieval
+from ..sources import sinks, tables
 from ..sources.tables import html_documents
 from . import fixtures, tpch
 from .tpch import table
@@ -85,9 +87,10 @@ def similarity_matrix(spark, sf_dir):
 
 # Cleaning
 
-_LINES = """lines AS (
-  SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM conversations)"""
+_LINES_OF = """lines AS (
+  SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS page, unnest(string_split({text}, chr(10))) AS line,
+         generate_subscripts(string_split({text}, chr(10)), 1) - 1 AS line_no FROM conversations)"""
+_LINES = _LINES_OF.format(text="coalesce(text, '')")
 _FP = r"regexp_replace(regexp_replace(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')"
 _NUMBER = r"regexp_matches(line, '(?i)^\s*(page\s+)?[-\[(]?\s*[0-9]{1,4}\s*(of\s+[0-9]{1,4})?\s*[-\])]?\s*$')"
 _REPEATING = f"""edges AS (
@@ -114,6 +117,31 @@ def repeating_lines(spark, sf_dir):
     return cleaning.repeating_lines(tpch.conversation_pages(spark, sf_dir))
 
 
+_PRINTED = _LINES_OF.format(text="concat('Star Letters  ', conv_id, chr(10), coalesce(text, ''), chr(10), 'Volume 3, Part ', turn)")
+
+
+def _printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as printed: each page has a head and a foot with numbers."""
+    pages = tpch.conversation_pages(spark, sf_dir)
+    return pages.withColumn("text", F.concat(F.lit("Star Letters  "), F.col("doc"), F.lit("\n"), "text", F.lit("\nVolume 3, Part "), F.col("page") - 1))
+
+
+@query(f"WITH {_PRINTED}, {_REPEATING} SELECT doc, fp, n_pages FROM heads")
+def repeating_heads(spark, sf_dir):
+    """FLT2, FLT3, AGG1, on pages that have heads and feet."""
+    return cleaning.repeating_lines(_printed_pages(spark, sf_dir))
+
+
+@query(f"""WITH {_PRINTED}, {_REPEATING},
+kept AS (SELECT * FROM lines l WHERE NOT {_NUMBER} AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc = l.doc AND h.fp = {_FP}))
+SELECT c.conv_id AS doc, CAST(c.turn + 1 AS INTEGER) AS page, coalesce(k.text, '') AS text FROM conversations c
+LEFT JOIN (SELECT doc, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM kept GROUP BY 1, 2) k ON c.conv_id = k.doc AND c.turn + 1 = k.page""")
+def without_printed_heads(spark, sf_dir):
+    """FLT4, on pages that have heads and feet."""
+    pages = _printed_pages(spark, sf_dir)
+    return cleaning.drop_lines(pages, cleaning.repeating_lines(pages))
+
+
 @query(f"""WITH {_LINES}, {_REPEATING},
 kept AS (SELECT * FROM lines l WHERE NOT {_NUMBER} AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc = l.doc AND h.fp = {_FP}))
 SELECT c.conv_id AS doc, CAST(c.turn + 1 AS INTEGER) AS page, coalesce(k.text, '') AS text FROM conversations c
@@ -130,14 +158,14 @@ def clean_pages(spark, sf_dir):
     return cleaning.clean_pages(tpch.conversation_pages(spark, sf_dir))
 
 
-@query()
+@query(fixtures.REFERENCES_SQL)
 def reference_sections(spark, sf_dir):
     """FLT5: spans of reference sections."""
     rows = fixtures.papers(spark)
     return rows.select("doc", cleaning.reference_spans("text").alias("s")).select("doc", "s.start", "s.end")
 
 
-@query()
+@query(fixtures.ORDER_SQL)
 def reading_order(spark, sf_dir):
     """SRC3."""
     return cleaning.reading_order(fixtures.blocks(spark))
@@ -186,7 +214,9 @@ def headings(spark, sf_dir):
     return fixtures.headings(spark).select("id", "line", t.is_heading(F.col("line")).alias("heading"))
 
 
-@query()
+@query(r"""SELECT page_id AS doc, 1 AS page, trim(regexp_replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_texts(spark, sf_dir):
     """HTML pages as documents."""
     return html_documents(table(spark, sf_dir, "pages"))
@@ -366,21 +396,24 @@ def parallel_edges(spark, sf_dir):
     return graph.parallel_edges(_edges(spark, sf_dir))
 
 
-@query(f"""WITH {tpch.triples_sql()}, names AS (SELECT key, arg_max(name, n) AS name FROM (SELECT key, name, count(*) AS n FROM ends WHERE edge GROUP BY 1, 2) GROUP BY 1)
+_TYPES = f"""WITH {tpch.triples_sql()}, names AS (SELECT key, arg_max(name, n) AS name FROM (SELECT key, name, count(*) AS n FROM ends WHERE edge GROUP BY 1, 2) GROUP BY 1)
 SELECT key, CASE WHEN regexp_matches(name, '(?i)\\bet\\s+al\\b\\.?$|^[a-z]\\.\\s*[a-z]{{2}}') THEN 'PERSON'
   WHEN regexp_matches(name, '(?i)(^|\\s)(berkeley|brain|deepmind|facebook|google|institute|labs?|meta|microsoft|mit|nvidia|openai|research|stanford|university)(\\s|$)') THEN 'ORG'
   WHEN regexp_matches(name, '(?i)%|\\b(ap|map)\\b|accuracy|bleu|error rate|fps|score|top-?[0-9]') THEN 'METRIC'
   WHEN regexp_matches(name, '(?i)cityscapes|coco|imagenet|jft|kitti|pascal|voc|wmt|\\b(benchmark|dataset)\\b') THEN 'DATASET'
-  WHEN regexp_matches(name, '(?i)bert|detr|gpt|net\\b|r-cnn|swin|transformer|vgg|vit\\b|yolo') THEN 'MODEL' ELSE 'CONCEPT' END AS type FROM names""")
+  WHEN regexp_matches(name, '(?i)bert|detr|gpt|net\\b|r-cnn|swin|transformer|vgg|vit\\b|yolo') THEN 'MODEL' ELSE 'CONCEPT' END AS type{{more}} FROM names{{rest}}"""
+
+
+@query(_TYPES.replace("{more}", "").replace("{rest}", ""))
 def entity_types(spark, sf_dir):
     """GRA11, AGG15, AGG19 (names vote here; relations' votes are tested on fixtures)."""
     return graph.entity_types(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@query()
+@query(_TYPES.replace("{more}", ", name, degree, round(12 + 5 * sqrt(degree), 6) AS size").replace("{rest}", " JOIN (SELECT key, count(*) AS degree FROM ends WHERE edge GROUP BY 1) USING (key)"))
 def visual_nodes(spark, sf_dir):
     """GRA12, SNK8."""
-    return graph.visual_nodes(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    return graph.visual_nodes(_nodes(spark, sf_dir), _edges(spark, sf_dir)).withColumn("size", F.round("size", 6))
 
 
 _ADJ = "adj AS (SELECT DISTINCT src AS node, dst AS nbr FROM edges UNION SELECT dst, src FROM edges)"
@@ -429,20 +462,57 @@ def exact_lookup(spark, sf_dir):
     return graph.lookup(names.distinct(), _nodes(spark, sf_dir), fuzzy=False)
 
 
-@query()
+@query(f"SELECT n_name || 'x' AS mention, {tpch.norm_sql('n_name')} AS key, 200.0::DOUBLE * length(n_name) / (2 * length(n_name) + 1) AS score FROM nation")
 def fuzzy_lookup(spark, sf_dir):
     """JOIN5: misspelt nations."""
     names = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("x")).alias("mention"))
     return graph.lookup(names, _nodes(spark, sf_dir))
 
 
-@query()
+def _spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples, with the parts of every tenth supplier in the plural."""
+    rows = tpch.triples(spark, sf_dir)
+    plural = (F.col("relation") == "supplies") & (F.floor((F.col("ord") - 10**12) / 10**9) % 10 == 9)
+    return rows.withColumn("object", F.when(plural, F.concat("object", F.lit("s"))).otherwise(F.col("object")))
+
+
+# "cold x" and "old x" are similar enough to be one, as any plural and its singular are, but the plural of the one and the
+# singular of the other only if the name is long enough: 200 * L / (2 * L + 2) >= 90 from L = 9
+_SPELT = f"""{tpch.triples_sql()},
+spelt AS (SELECT key AS base, regexp_replace(key, '^c?old ', 'old ') AS core, spot, source_file, source_file = 'lineitem' AND spot % 2 = 1 AND ((spot - 1) // 2 - 1000000000000) // 1000000000 % 10 = 9 AS plural, CASE WHEN plural THEN name || 's' ELSE name END AS name FROM ends),
+tops AS (SELECT core, base AS top FROM spelt WHERE NOT plural GROUP BY core, base QUALIFY row_number() OVER (PARTITION BY core ORDER BY count(*) DESC, min(spot)) = 1),
+canon AS (SELECT s.*, {tpch.norm_sql('name')} AS own, CASE WHEN plural AND base <> top AND length(core) < 9 THEN own ELSE top END AS canonical FROM spelt s JOIN tops USING (core))"""
+
+
+@query(f"WITH {_SPELT} SELECT DISTINCT own AS key, canonical FROM canon")
 def canonical_entities(spark, sf_dir):
-    """GRA2, GRA13: greedy merging over the names of nations, regions and parts."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
-    names = names.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord")))
-    counts = names.select(t.normalise_entity(F.col("name")).alias("key"), "ord").groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    return graph.canonicalise(counts)
+    """GRA2: greedy merging over the names of all triples: plurals and near spellings join, and names that differ in a number don't."""
+    return graph.canonicalise(graph.entity_counts(graph.valid_triples(_spelt(spark, sf_dir))))
+
+
+@query(f"""WITH {_SPELT}, best AS (SELECT canonical, name FROM canon GROUP BY canonical, name QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY count(*) DESC, min(spot)) = 1)
+SELECT canonical AS key, any_value(b.name) AS name, array_to_string(list_sort(list_distinct(list(c.name))), '|') AS aliases, count(*) AS mentions,
+  array_to_string(list_sort(list_distinct(list(source_file))), '|') AS sources FROM canon c JOIN best b USING (canonical) GROUP BY 1""")
+def merged_graph(spark, sf_dir):
+    """GRA1, GRA2, GRA13, AGG3, AGG4: the whole graph built anew with merging, of all triples."""
+    nodes, _ = graph.build(_spelt(spark, sf_dir), variants=False)
+    return nodes.select("key", "name", F.array_join("aliases", "|").alias("aliases"), "mentions", F.array_join("sources", "|").alias("sources"))
+
+
+@query(f"""WITH {tpch.triples_sql()} SELECT src, dst, relation, source_file, ord FROM edges WHERE src = 'nation_3' AND relation = 'part_of'""")
+def edges_between(spark, sf_dir):
+    """GRA5."""
+    edges = _edges(spark, sf_dir)
+    region = table(spark, sf_dir, "nation").filter("n_name = 'NATION_3'").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).first()["r_name"]
+    return graph.edges_between(edges, "nation_3", region.lower()).select("src", "dst", "relation", "source_file", "ord")
+
+
+@query(f"""WITH RECURSIVE {tpch.triples_sql()}, both_ways AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+root AS (SELECT min(a) AS key FROM both_ways), reach(key) AS (SELECT key FROM root UNION SELECT b FROM reach JOIN both_ways ON reach.key = a)
+SELECT a AS key, CASE WHEN a IN (SELECT key FROM reach) THEN (SELECT key FROM root) ELSE a END AS component FROM (SELECT DISTINCT a FROM both_ways)""")
+def graph_components_whole(spark, sf_dir):
+    """AGG18: of all edges, which suppliers' parts tie into one (SQL follows the least key's component; any other would show as a difference)."""
+    return graph.components(_edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 # Extraction
@@ -454,10 +524,28 @@ def markup_triples(spark, sf_dir):
     return extraction.decode_markup(fixtures.markup(spark))
 
 
-@query()
+@query(fixtures.RULES_SQL)
 def rule_triples(spark, sf_dir):
     """IEX3, IEX4, IEX7, FLT13."""
-    return extraction.extract_triples(fixtures.sentences(spark))
+    return extraction.extract_triples(fixtures.sentences(spark)).select("sent_index", "subject", "relation", "object")
+
+
+_SOLD = "SELECT DISTINCT n_name, p_name, n_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey"
+
+
+@query(f"""WITH sold AS ({_SOLD}) SELECT n_name AS subject, 'uses' AS relation, p_name AS object, 'sold' AS source_file FROM sold WHERE n_nationkey % 3 = 0
+UNION ALL SELECT n_name, 'proposes', p_name, 'sold' FROM sold WHERE n_nationkey % 3 = 1
+UNION ALL SELECT n_name, 'outperforms', p_name, 'sold' FROM sold WHERE n_nationkey % 3 = 2""")
+def stated_triples(spark, sf_dir):
+    """IEX3, IEX7, IEX8: what sentences about all tables' suppliers say, in three voices."""
+    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = sold.select("n_name", "p_name", "n_nationkey").distinct()
+    active = F.concat("n_name", F.lit(" uses the "), "p_name", F.lit(", as far as all the people we asked can tell."))
+    passive = F.concat(F.lit("The "), "p_name", F.lit(" was proposed by "), "n_name", F.lit(", as far as all the people we asked can tell."))
+    compared = F.concat("n_name", F.lit(" is faster than the "), "p_name", F.lit(", as far as all the people we asked can tell."))
+    said = F.when(F.col("n_nationkey") % 3 == 0, active).when(F.col("n_nationkey") % 3 == 1, passive).otherwise(compared)
+    rows = sold.select(F.lit("sold").alias("source_file"), F.lit(1).alias("page"), F.lit(0).alias("sent_index"), said.alias("sentence"))
+    return extraction.extract_triples(rows).select("subject", "relation", "object", "source_file")
 
 
 @query()
@@ -470,7 +558,7 @@ def document_triples(spark, sf_dir):
 @query()
 def title_blocks(spark, sf_dir):
     """IEX5, AGG16, WIN11, TOP8."""
-    return fixtures.first_pages(spark).select("source_file", extraction.title_blocks("pages").alias("b")).select("source_file", "b.title", "b.authors")
+    return fixtures.first_pages(spark).select("source_file", extraction.title_blocks("pages").alias("b")).select("source_file", "b.title", F.array_join("b.authors", ", ").alias("authors"))
 
 
 _TITLES = "titles(source_file, title, author) AS (VALUES ('nation', 'Nations of the world', 'Ann Lee'), ('supplier', 'Suppliers and where they are', 'Bob Ray'))"
@@ -515,7 +603,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(docs, "id", "left").select("qid", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source_file", F.lit("file")).alias("source_file"), F.lit(1).alias("page"), "score", "rank")
 
 
-_HITS_SQL = f"""hits AS (SELECT h.qid, coalesce(substring(d.text, 1, 300), '') AS text, coalesce('file' || CAST(d.doc_id % 7 AS VARCHAR), 'file') AS source_file, 1 AS page, h.score, h.rank
+_HITS_SQL = f"""hits AS (SELECT h.qid, coalesce(d.text, '') AS text, coalesce('file' || CAST(d.doc_id % 7 AS VARCHAR), 'file') AS source_file, 1 AS page, h.score, h.rank
   FROM ({_NEAREST.format(where='')}) h LEFT JOIN documents d ON d.doc_id = h.id)"""
 
 
@@ -562,7 +650,7 @@ def method_mix(spark, sf_dir):
     return retrieval.method_mix(_hybrid(spark, sf_dir))
 
 
-@query()
+@query("SELECT vec_id AS qid, CAST(NULL AS VARCHAR) AS answer, 'no language model is configured' AS error FROM embeddings WHERE vec_id % 100 = 0")
 def offline_answers(spark, sf_dir):
     """RET10, RET11, RET14: evidence without a language model."""
     return retrieval.answers(_questions(spark, sf_dir), retrieval.format_evidence(_hybrid(spark, sf_dir)))
@@ -570,12 +658,12 @@ def offline_answers(spark, sf_dir):
 
 @query(r"""
 WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.item_id < b.item_id AND a.item_id % 100 = 0""")
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.item_id <> b.item_id AND a.item_id % 100 = 0""")
 def word_similarity(spark, sf_dir):
     """SET2, JOIN13: a query set of items against all."""
     b = table(spark, sf_dir, "benchmark")
     asked = b.filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("a"), F.col("text").alias("ta"))
-    return b.select(F.col("item_id").alias("b"), "text").join(F.broadcast(asked), F.col("a") < F.col("b")).select("a", "b", F.round(t.jaccard(F.col("ta"), F.col("text")), 6).alias("similarity"))
+    return b.select(F.col("item_id").alias("b"), "text").join(F.broadcast(asked), F.col("a") != F.col("b")).select("a", "b", F.round(t.jaccard(F.col("ta"), F.col("text")), 6).alias("similarity"))
 
 
 # Evaluation, corpus, chats
@@ -598,16 +686,19 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[(1 + n % m).alias(a) for a, m in zip(evaluation.AXES, (5, 4, 3))], (n % 11 == 0).alias("parse_failed"), (F.col("conv_id") % 4).alias("n_graph"), (F.col("turn") % 5).alias("n_vector"))
 
 
-@query(f"""WITH {_SCORES}, r AS (SELECT system, coalesce(tier, 'ALL') AS tier, sum(c1) FILTER (WHERE NOT failed) AS a, sum(c2) FILTER (WHERE NOT failed) AS b, sum(c3) FILTER (WHERE NOT failed) AS c,
+_SUMMARY = f"""WITH {_SCORES}, r AS (SELECT system, coalesce(tier, 'ALL') AS tier, sum(c1) FILTER (WHERE NOT failed) AS a, sum(c2) FILTER (WHERE NOT failed) AS b, sum(c3) FILTER (WHERE NOT failed) AS c,
   count(*) FILTER (WHERE NOT failed) AS scored, count(*) FILTER (WHERE failed) AS failed, sum(g) AS g, sum(v) AS v FROM s GROUP BY GROUPING SETS ((system, tier), (system))),
 m AS (SELECT *, CASE WHEN scored > 0 THEN round(a / scored, 2) ELSE 0 END AS m1, CASE WHEN scored > 0 THEN round(b / scored, 2) ELSE 0 END AS m2, CASE WHEN scored > 0 THEN round(c / scored, 2) ELSE 0 END AS m3 FROM r)
-SELECT system, tier, m1 AS correctness, m2 AS completeness, m3 AS grounding, round((m1 + m2 + m3) / 3, 2) AS overall, scored, failed, CASE WHEN g + v > 0 THEN round(g / (g + v), 2) ELSE 0 END AS graph_share FROM m""")
+SELECT system, tier, m1 AS correctness, m2 AS completeness, m3 AS grounding, round((m1 + m2 + m3) / 3, 2) AS overall, scored, failed, CASE WHEN g + v > 0 THEN round(g / (g + v), 2) ELSE 0 END AS graph_share FROM m"""
+
+
+@query(_SUMMARY)
 def eval_summary(spark, sf_dir):
     """AGG13, EVL4."""
     return evaluation.summary(_scores(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH marks AS ({_SUMMARY}) SELECT a.tier AS tier, a.overall AS mark, b.overall AS baseline, round(a.overall - b.overall, 2) AS delta FROM marks a JOIN marks b ON a.tier = b.tier AND a.system = 'hybrid' AND b.system = 'baseline'""")
 def eval_deltas(spark, sf_dir):
     """AGG13, JOIN15."""
     return evaluation.deltas(evaluation.summary(_scores(spark, sf_dir)), "hybrid", "baseline")
@@ -661,3 +752,106 @@ def chat_titles(spark, sf_dir):
 def chat_history(spark, sf_dir):
     """WIN8, CHT3."""
     return corpus.history(tpch.chats(spark, sf_dir))
+
+
+# Sinks and sources: written into the shared folder and read back
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"WITH {_CHUNKS} SELECT CAST(doc AS VARCHAR) AS source_file, doc || '::fixed::' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') AS chunk_id, md5(body) AS text_md5 FROM chunks WHERE doc <> 7")
+def stored_chunks(spark, sf_dir):
+    """SNK1, SNK2, SRC8: all chunks upserted, a tenth of the documents once more, one document deleted."""
+    path = _scratch(spark, "chunks")
+    rows = chunking.chunk_fixed(tpch.docs(spark, sf_dir)).select(F.col("doc").cast("string").alias("source_file"), "chunk_id", F.md5("text").alias("text_md5"))
+    sinks.upsert_chunks(rows, path)
+    sinks.upsert_chunks(rows.filter("cast(source_file as bigint) % 10 = 0"), path)
+    sinks.delete_source(spark, path, "7")
+    return tables.index(spark, path)
+
+
+@query(f"WITH {tpch.triples_sql()} SELECT subject, relation, object, source_file AS doc_id FROM raw WHERE source_file <> 'customer'")
+def stored_triples(spark, sf_dir):
+    """SNK4, SNK5, SRC7, SET3, WSP4: each file's triples saved, one file's replaced by none."""
+    path = _scratch(spark, "triples")
+    rows = tpch.triples(spark, sf_dir).select("subject", "relation", "object", F.col("source_file").alias("doc_id"))
+    sinks.save_triples(rows, path)
+    sinks.save_triples(rows.limit(0), path, rows.filter("doc_id = 'customer'").select("doc_id").distinct())
+    return tables.triples(spark, path)
+
+
+@query(f"WITH {tpch.triples_sql()} SELECT src, dst, relation, source_file, ord FROM edges")
+def stored_graph(spark, sf_dir):
+    """SNK7, SRC10."""
+    path = _scratch(spark, "graph")
+    sinks.save_graph(_nodes(spark, sf_dir), _edges(spark, sf_dir).select(*graph.EDGE), path)
+    return tables.graph(spark, path)[1].select("src", "dst", "relation", "source_file", "ord")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'pending' ELSE 'processed' END AS status,
+  concat_ws(',', CASE WHEN doc_id % 4 = 0 THEN 'domain' END, CASE WHEN doc_id % 5 = 0 THEN 'model' END) AS extractors_run FROM documents WHERE doc_id % 50 <> 1""")
+def stored_manifest(spark, sf_dir):
+    """SNK6, SRC6, WSP3, WSP4: the manifest saved, documents marked and removed, saved over itself and read back."""
+    path = _scratch(spark, "manifest")
+    sinks.save_manifest(_manifest(spark, sf_dir), path)
+    known = tables.manifest(spark, path)
+    marked = corpus.mark_extractor(known, known.filter("cast(doc_id as bigint) % 5 = 0"), "model")
+    sinks.save_manifest(corpus.removed({"manifest": marked}, marked.filter("cast(doc_id as bigint) % 50 = 1"))["manifest"], path)
+    return tables.manifest(spark, path).select("doc_id", "status", F.array_join("extractors_run", ",").alias("extractors_run"))
+
+
+@query("""WITH m AS (SELECT conv_id AS chat_id, count(*) AS n_messages, arg_min(text, turn) FILTER (WHERE role = 'user') AS f FROM conversations GROUP BY 1)
+SELECT CAST(chat_id AS VARCHAR) AS chat_id, n_messages, CASE WHEN f IS NULL THEN 'New chat' WHEN length(f) > 48 THEN rtrim(substring(f, 1, 48)) || '...' ELSE f END AS title FROM m""")
+def stored_chats(spark, sf_dir):
+    """SNK9, SRC11, CHT1, SRT1."""
+    path = _scratch(spark, "chats")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("chat_id").cast("long") * 3600 + F.col("turn"))
+    sinks.save_chats(tpch.chats(spark, sf_dir).select(F.col("chat_id").cast("string").alias("chat_id"), "turn", "role", "content", at.alias("ts")), path)
+    return corpus.chat_list(tables.chats(spark, path)).select("chat_id", "n_messages", "title")
+
+
+@query("SELECT unnest(['" + "', '".join(f"{n}.parquet" for n in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()) + "']) AS filename")
+def scanned_files(spark, sf_dir):
+    """SRC1, SRC4: the folder's files by their first bytes."""
+    return tables.corpus(spark, sf_dir, "*.parquet", "PAR1").select("filename")
+
+
+@query("SELECT item_id AS ord, difficulty, text AS question FROM (SELECT *, ['easy', 'medium', 'hard'][item_id % 3 + 1] AS difficulty FROM benchmark) WHERE difficulty <> 'medium' ORDER BY item_id LIMIT 20")
+def chosen_questions(spark, sf_dir):
+    """FLT18: a filter and a limit that the user gives."""
+    level = F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("item_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), level.alias("difficulty"), F.col("text").alias("question"))
+    return evaluation.chosen(rows, ["easy", "hard"], 20)
+
+
+_WROTE = "SELECT DISTINCT p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
+
+
+@query(f"""WITH w AS ({_WROTE}), a AS (SELECT s_name FROM w WHERE p_brand = 'Brand#1'), b AS (SELECT s_name FROM w WHERE p_brand = 'Brand#2')
+SELECT s_name AS author, CASE WHEN s_name IN (SELECT s_name FROM b) THEN 'both' ELSE 'only_first' END AS found_in FROM a""")
+def shared_authors(spark, sf_dir):
+    """DED6: suppliers as authors of parts, which two questions (brands) cite."""
+    part = table(spark, sf_dir, "part")
+    evidence = part.select(F.col("p_brand").alias("qid"), F.col("p_partkey").cast("string").alias("source_file"))
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    wrote = sold.select(F.col("s_name").alias("subject"), F.lit("authored").alias("relation"), F.col("l_partkey").cast("string").alias("source_file"))
+    return retrieval.shared_authors(evidence, wrote, "Brand#1", "Brand#2")
+
+
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS ord, length(text) % 3 = 0 AS empty FROM conversations), w AS (SELECT ord, min(CAST(empty AS INTEGER)) OVER o AS streak, count(*) OVER o AS n FROM r WINDOW o AS (ORDER BY ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT min(ord) AS ord FROM w WHERE streak = 1 AND n = 3 HAVING min(ord) IS NOT NULL""")
+def abort_point(spark, sf_dir):
+    """EVL3: where three questions in a row had no answer."""
+    runs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), (F.length("text") % 3 == 0).alias("empty"))
+    return evaluation.abort_at(runs)
+
+
+@query("SELECT conv_id AS chat_id, CAST(turn AS INTEGER) AS turn, 2 * turn + 1 AS embed, 7 AS rerank FROM conversations")
+def merged_timings(spark, sf_dir):
+    """TIM1: the right map wins."""
+    rows = table(spark, sf_dir, "conversations")
+    left, right = F.create_map(F.lit("embed"), F.col("turn") - 5, F.lit("rerank"), F.lit(7).cast("long")), F.create_map(F.lit("embed"), F.col("turn") * 2 + 1)
+    both = corpus.merged_timings(left.cast("map<string,bigint>"), right.cast("map<string,bigint>"))
+    return rows.select(F.col("conv_id").alias("chat_id"), F.col("turn").cast("int").alias("turn"), both["embed"].alias("embed"), both["rerank"].cast("int").alias("rerank"))

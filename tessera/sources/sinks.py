@@ -1,4 +1,5 @@
-"""Writers. Tables are partitioned by document, so that an upsert or a removal rewrites that document's partition only."""
+"""Writers. Tables lie in a fixed number of hash buckets of their key, so that an upsert or a removal rewrites the buckets
+it touches, and the number of folders doesn't grow with the documents."""
 
 from __future__ import annotations
 
@@ -7,32 +8,59 @@ from pyspark.sql import functions as F
 
 from .tables import exists
 
+#: Buckets of a table; a table keeps the number that it was made with.
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_rows(rows: DataFrame, path: str, key: str, keys: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """All rows of some keys (by default, of those in rows) replaced by rows: idempotent, and no orphans stay. Only buckets with such keys are read and written."""
+    spark = rows.sparkSession
+    keys = (rows if keys is None else keys).select(key).distinct()
+    new = rows.withColumn("bucket", _bucket(key, buckets))
+    touched = [r[0] for r in keys.select(_bucket(key, buckets).alias("b")).distinct().collect()]  # `buckets` numbers at most
+    if exists(spark, path):
+        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).join(keys, key, "left_anti")
+        new = old.select(*new.columns).unionByName(new)
+    # buckets that are to be empty have no rows to overwrite them
+    left = {r[0] for r in new.select("bucket").distinct().collect()}
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in set(touched) - left:
+        _delete(spark, f"{path}/bucket={b}")
+
 
 def upsert_chunks(chunks: DataFrame, path: str, key: str = "source_file") -> None:
-    """SNK1, SNK2: each document's partition is replaced whole: idempotent, and no orphans stay."""
-    chunks.dropDuplicates(["chunk_id"]).repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """SNK1, SNK2: each document's chunks are replaced whole."""
+    replace_rows(chunks.dropDuplicates(["chunk_id"]), path, key)
 
 
 def delete_source(spark: SparkSession, path: str, source: str, key: str = "source_file") -> int:
-    """SNK2: rows deleted: the partition's folder goes; nothing else is read."""
+    """SNK2: rows deleted; nothing but the source's bucket is read."""
     if not exists(spark, path):
         return 0
-    n = spark.read.parquet(path).filter(F.col(key) == source).count()
-    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={escaped}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    kept = spark.read.parquet(path)
+    gone = spark.createDataFrame([(source,)], f"{key} string")
+    n = kept.filter((F.col("bucket") == gone.select(_bucket(key, BUCKETS)).first()[0]) & (F.col(key) == source)).count()
+    replace_rows(kept.drop("bucket").limit(0), path, key, gone)
     return n
 
 
 def reset(spark: SparkSession, path: str) -> None:
     """SNK3, SNK11."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, path)
 
 
-def save_triples(triples: DataFrame, path: str) -> None:
-    """SNK4, SNK5: by document; a document's partition is the checkpoint of its extraction."""
-    triples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+def save_triples(triples: DataFrame, path: str, docs: DataFrame | None = None) -> None:
+    """SNK4, SNK5: each document's triples replaced whole; docs: the documents that were extracted, if some gave none."""
+    replace_rows(triples, path, "doc_id", docs)
 
 
 def not_extracted(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
@@ -41,8 +69,13 @@ def not_extracted(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
 
 def save_manifest(manifest: DataFrame, path: str) -> None:
-    """SNK6: JSON lines, one file per write; readers never see a mixture."""
-    manifest.coalesce(1).write.mode("overwrite").json(path)
+    """SNK6: JSON lines, one file per write, made beside the old one and then put in its place, so that a manifest may be made from the one that it replaces."""
+    spark = manifest.sparkSession
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}.next")
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.next", path))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

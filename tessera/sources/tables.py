@@ -57,16 +57,16 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, path: str, order: DataFrame | None = None) -> DataFrame:
-    """SRC7, SET3: all documents' triples, partitions of one table, in manifest order."""
+    """SRC7, SET3: all documents' triples, rows of one table, in manifest order."""
     if not exists(spark, path):
         return spark.createDataFrame([], TRIPLES)
-    rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path).drop("bucket")
     return rows if order is None else rows.join(order.select("doc_id", F.col("ord").alias("doc_ord")), "doc_id")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8, SRC9: the vector table; filters on its metadata and its partitions are pushed down."""
-    return spark.read.parquet(path)
+    """SRC8, SRC9: the vector table; filters on its metadata are pushed down."""
+    return spark.read.parquet(path).drop("bucket")
 
 
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -68,3 +68,22 @@ def test_files(spark, tmp_path):
     files = tables.corpus(spark, str(tmp_path / "f"))
     assert sorted(r["filename"] for r in files.collect()) == ["a.pdf", "d.pdf"]
     assert [(r["page"], r["text"]) for r in tables.pages_of_files(files, parse).orderBy("page").collect()] == [(1, "%PDF one"), (2, "two")]
+
+
+def test_pending_extraction_resumes(spark, tmp_path):
+    docs = spark.createDataFrame([(str(i), f"Orion{i} outperforms Vega on the public benchmark of the year." if i != 3 else "Nothing.") for i in range(8)], "doc_id string, text string")
+    manifest, triples = f"file://{tmp_path}/m", f"file://{tmp_path}/t"
+    rows = docs.selectExpr("doc_id", "doc_id as filename", "doc_id as original_name", "doc_id as sha256", "1L as n_bytes", "1 as n_pages", "0 as n_chunks", "0 as n_triples", "cast(array() as array<string>) as extractors_run", "'pending' as status", "cast(null as string) as error", "timestamp'2024-01-01 00:00:00' as added_at")
+    known = tables.manifest(spark, manifest)
+    sinks.save_manifest(rows.select(*[F.col(f.name).cast(f.dataType) for f in known.schema]), manifest)
+
+    def broken(sentences):
+        raise RuntimeError("no such model")
+
+    first = ingest.extract_pending(docs, manifest, triples, model=broken).collect()
+    assert {r["status"] for r in first} == {"failed"} and "no such model" in first[0]["error"]
+    done = {r["doc_id"]: r for r in ingest.extract_pending(docs, manifest, triples).collect()}
+    assert {r["status"] for r in done.values()} == {"processed"} and {i: r["n_triples"] for i, r in done.items()} == {str(i): int(i != 3) for i in range(8)}
+    assert {r["subject"] for r in tables.triples(spark, triples).collect()} == {f"Orion{i}" for i in range(8) if i != 3}
+    again = ingest.extract_pending(docs.withColumn("text", F.lit("Lyra outperforms Vega on the public benchmark of the year.")), manifest, triples)
+    assert again.filter("n_triples = 1").count() == 7 and tables.triples(spark, triples).filter("subject = 'Lyra'").count() == 0

@@ -102,3 +102,49 @@ def test_lookup_scores_all_mentions(spark):
     asked = spark.range(10_050).select(F.concat(F.lit("long orion nebula survex q"), F.col("id").cast("string")).alias("mention"))
     found = graph.lookup(asked, nodes)
     assert found.count() == 10_050 == found.filter("key = 'long orion nebula survey' and score < 100").select("mention").distinct().count()
+
+
+def fold(counts):
+    """Greedy merging by its definition, one key after the other. counts: [(key, n, first)]."""
+    import re
+
+    from tessera.functions.udfs import lcs_ratio
+
+    def parts(k):
+        m = re.fullmatch(r"(.*?)[\s-]*v?([0-9]+(?:\.[0-9]+)?)", k)
+        return (m[1].strip(" -"), m[2]) if m else (k, None)
+
+    forms, owner, out = [], {}, {}
+    for k, _, _ in sorted(counts, key=lambda c: (-c[1], c[2])):
+        bare = re.sub(r"\b[a-z]\.\s*", "", k).strip() or k
+        if bare in owner:
+            out[k] = owner[bare]
+            continue
+        best = max(((lcs_ratio(k, f), -i, f) for i, f in enumerate(forms)), default=(0, 0, ""))
+        if best[0] >= 90:
+            (s1, v1), (s2, v2) = parts(k), parts(best[2])
+            if not (v1 and v2 and v1 != v2) and not (bool(v1) != bool(v2) and s1 == s2):
+                out[k] = best[2]
+                continue
+        forms.append(k)
+        out[k] = owner[bare] = k
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merging_is_the_greedy_one(spark, seed):
+    rng = random.Random(seed)
+    keys = set()
+    while len(keys) < 150:
+        base = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(1, 3)))
+        keys |= {base, base + rng.choice("abc"), base[:-1], base + " v2", base + "-3", base + "s 3", f"{rng.choice('xyz')}. {base}", f"{rng.choice('xyz')}. {base}s", base[1:]}
+    counts = [(k, rng.randint(1, 4), i) for i, k in enumerate(sorted(keys))]
+    got = {r["key"]: r["canonical"] for r in graph.canonicalise(spark.createDataFrame(counts, "key string, n bigint, first bigint")).collect()}
+    want = fold(counts)
+    assert got == want and sum(k != c for k, c in want.items()) > 20
+
+
+def test_numbered_names_do_not_meet(spark):
+    """Names that differ in their number make no candidate pairs, however many there are."""
+    names = spark.range(500).selectExpr("format_string('customer#%09d', id) as key")
+    assert graph.merge_candidates(names).count() == 0

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, extraction, graph, retrieval
@@ -76,3 +77,66 @@ def test_evaluation(spark):
     assert got["h", "hard"]["graph_share"] == 0.75 and got["b", "hard"]["failed"] == 1 and set(got) == {(a, b) for a in "hb" for b in ("hard", "ALL")}
     assert evaluation.deltas(s, "h", "b").filter("tier = 'ALL'").first()["delta"] == 2.67
     assert fixtures.replies(spark).count() == 7
+
+
+def test_mentions_are_resolved_by_similarity(spark):
+    rows = [(s, r, o, "a", 1, "", "domain", i) for i, (s, r, o) in enumerate([("Faster R-CNN", "uses", "Vega"), ("Orion", "outperforms", "Lyra net"), ("Stone", "authored", "Orion"), ("Faster R-CNN v2", "extends", "Faster R-CNN")])]
+    nodes, _ = graph.build(spark.createDataFrame(rows, tables.TRIPLES))
+    asked = spark.createDataFrame([(1, "Which models outperform the Faster RCNN?"), (2, "What is orionn?"), (3, "Which of these?"), (4, "Who wrote the Orion paper with Stone?")], "qid int, question string")
+    got = {}
+    for r in retrieval.resolve_entities(asked, nodes).collect():
+        got.setdefault(r["qid"], {})[r["key"]] = r["score"]
+    assert "faster r-cnn" in got[1] and 82 <= got[1]["faster r-cnn"] < 100 and list(got[2]) == ["orion"] and 3 not in got
+    assert got[4]["orion"] == got[4]["stone"] == 100.0 and all(len(x) <= 4 for x in got.values())
+
+
+def test_similar_loses_no_node(spark):
+    """What the characters rule out would not have reached the score."""
+    import random
+
+    from tessera.functions.udfs import weighted_ratio
+
+    rng = random.Random(2)
+    say = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(1, 4)))
+    nodes = sorted({say() for _ in range(150)})
+    asked = [n[rng.randint(0, 2) :] + rng.choice(["", "a", " bc"]) for n in nodes[::3]] + [say() for _ in range(30)]
+    got = {(r["mention"], r["key"]) for r in graph.similar(spark.createDataFrame([(m, m) for m in sorted(set(asked))], "mention string, q string"), spark.createDataFrame([(n, i) for i, n in enumerate(nodes)], "key string, ord int"), 82.0).collect()}
+    want = {(m, n) for m in asked for n in nodes if weighted_ratio(m, n) >= 82}
+    assert got == want and want
+
+
+def test_client_falls_through():
+    calls, waits = [], []
+
+    def model(name, *replies):
+        left = list(replies)
+
+        def ask(prompt):
+            calls.append(name)
+            reply = left.pop(0) if len(left) > 1 else left[0]
+            if isinstance(reply, Exception):
+                raise reply
+            return reply
+
+        return ask
+
+    client = retrieval.ModelClient({"a": [model("a1", RuntimeError("404 not found")), model("a2", RuntimeError("503 overloaded"), RuntimeError("please retry in 7.5s: rate"), "yes")], "b": [model("b1", "no")]}, sleep=waits.append)
+    assert client("q") == "yes" and client.last == "a" and calls == ["a1", "a2"] * 3 and 1 <= waits[0] < 2 and waits[1] == 8.5
+    calls.clear()
+    assert client("q") == "yes" and calls == ["a2"]  # the one that worked is asked first
+    client = retrieval.ModelClient({"a": [model("a1", RuntimeError("401 forbidden"))], "b": [model("b1", "no")]}, sleep=waits.append)
+    assert client("q") == "no" and client.last == "b"
+    for empty in ({}, {"a": []}, {"a": [model("a1", " ")]}):
+        with pytest.raises(retrieval.ModelUnavailable):
+            retrieval.ModelClient(empty, sleep=waits.append)("q")
+
+
+def test_neighbours_stop_at_most(spark):
+    """Truncation by hops gives the first rows of the whole traversal."""
+    rows = [("hub", "r", f"near {i:02d}", "a", 1, "", "d", i) for i in range(12)] + [(f"near {i:02d}", "r", f"far {i:02d}", "a", 1, "", "d", 100 + i) for i in range(12)] + [("near 00", "q", "far 00", "a", 1, "", "d", 300)]
+    _, edges = graph.build(spark.createDataFrame(rows, tables.TRIPLES), merge=False)
+    start = spark.createDataFrame([("hub",)], "start string")
+    take = lambda most: [(r["emitted"], r["key"], r["hop"], r["path"]) for r in graph.neighbours(start, edges, 3, most).orderBy("emitted").collect()]
+    every = take(1000)
+    assert len(every) == 25 and [e[0] for e in every] == list(range(1, 26))
+    assert all(take(n) == every[:n] for n in (5, 12, 15))

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def ship(module_name: str) -> None:
+    """Pickle a module's functions by value: executors then need no copy of this package on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
+ship(__name__)
+
+
 def lcs_ratio(a: str, b: str) -> float:
     """200 * LCS / (|a| + |b|), with the longest common subsequence by bit-parallel addition."""
     if not a or not b:

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import HEADINGS
 from ..functions.udfs import sentences as split_sentences
-from ..functions.udfs import snapped
+from ..functions.udfs import ship, snapped
+
+ship(__name__)
 
 SIZE, OVERLAP, SLIVER = 500, 100, 50
 
@@ -70,8 +73,6 @@ def last_sentence(text: str, most: int = 250) -> str:
 
 
 def _is_heading(line: str) -> bool:
-    from ..functions.text import HEADINGS
-
     line = line.strip()
     if not 3 <= len(line) <= 70 or (line[-1] in ".,;:" and not line[0].isdigit()):
         return False

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
-from ..functions.udfs import nfkc
+from ..functions.udfs import nfkc, ship
+
+ship(__name__)
 
 
 def lines_of(pages: DataFrame) -> DataFrame:

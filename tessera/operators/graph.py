@@ -313,6 +313,8 @@ def similar(mentions: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     # plain and sorted-token ratios; a shared word; a part of the longer one (0.9 of its ratio at most)
     may = (both * 200 >= (la + lb) * least) | words | ((F.greatest(la, lb) >= short * 1.5) & (both * 100 >= short * (least / 0.9)))
     found = None
+    # a small table of nodes would else be scored by one task
+    nodes = nodes.select("key", "ord").repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism)
     for b in range(blocks):
         own = mentions.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b).select("mention", "q")
         scored = nodes.join(F.broadcast(own), may).withColumn("score", lookup_score("q", "key")).filter(F.col("score") >= least).select("mention", "key", "ord", "score")

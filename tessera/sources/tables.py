@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.udfs import ship
 from ..operators.corpus import MANIFEST
 
+ship(__name__)
+
 TRIPLES = "subject string, relation string, object string, source_file string, page int, sentence string, extractor string, ord bigint"
 
 

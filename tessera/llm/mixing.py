@@ -9,7 +9,9 @@ exponentially tilted by the document's words; lambda_s maximises the concave dua
 minus the words that the rates take. Newton's method finds it: the gradient is concave in lambda above 0 and
 convex below, so from 0 it runs monotonically to the root. The dual separates by source, and documents of a source
 matter only through (size cell, count, words), so each Newton iteration runs over a bounded histogram, all
-sources side by side, within one aggregation. A target of twice the source's words is the limit rate 2.
+sources side by side, within one aggregation: what is distributed is the histogram's making, once, and not a job for
+each step. Cells are single sizes up to 1023 words and narrower than 1/512 of the size above, where a cell's
+documents share the rate of their mean size. A target of twice the source's words is the limit rate 2.
 
 Rates become copies (0, 1 or 2) by systematic rounding along the source's size cells: copies_i = floor(C_i + u) -
 floor(C_{i-1} + u) with C the running sum of the rates. Neighbours in size make up for each other, so a source's

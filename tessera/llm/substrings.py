@@ -119,7 +119,7 @@ def _open(width: int, gram: int):
     return run
 
 
-def _cut(width: int, gram: int, texts: bool):
+def _cut(width: int, gram: int, whole_texts: bool):
     """Texts without the words of the listed blocks and windows: how many are gone, the hash of what is left and, if asked for, that itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +148,9 @@ def _cut(width: int, gram: int, texts: bool):
                     left = (np.flatnonzero(keep[w.first[i] : w.first[i + 1]]) + w.first[i]).tolist()
                     joined = b" ".join([raw[s[j] : e[j]] for j in left])
                     sha.append(hashlib.sha256(joined).digest())
-                    if texts:
+                    if whole_texts:
                         kept.append(joined.decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(k.sums_by_text(gone, w.first)), pa.array(sha, pa.binary()), *[pa.array(kept, pa.string())] * texts], ["doc_id", "key", "n_removed", "sha", *["kept"] * texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(k.sums_by_text(gone, w.first)), pa.array(sha, pa.binary()), *[pa.array(kept, pa.string())] * whole_texts], ["doc_id", "key", "n_removed", "sha", *["kept"] * whole_texts])
 
     return run
 
@@ -175,7 +175,8 @@ def factors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
 
     Each block copies from its first place in the document with the smallest id; consecutive blocks that copy from
     consecutive places are one factor. Words of factors are all removed by repeated_words(), which also opens the
-    blocks at their boundaries and so finds windows that straddle two blocks.
+    blocks at their boundaries and so finds windows that straddle two blocks; a shared passage in which no whole block
+    lies has such windows only, and no factor here.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = own_columns(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")

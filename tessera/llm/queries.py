@@ -125,4 +125,10 @@ left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM words ANT
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN js IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN left_ USING (doc_id)""",
+    # base32 of a digest: five hexadecimal digits are four of its own
+    "op10_capture_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS lead FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN lead = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN lead <> page_id THEN lead END AS refers_to FROM p""",
 }

@@ -529,7 +529,8 @@ def test_factors_are_copies(docs, rows):
         spans = {j for r in got if r["doc_id"] == i for j in range(r["at"], r["at"] + r["words"])}
         assert spans <= gone
     whole = [r for r in got if r["words"] == len(text[r["doc_id"]][0])]
-    assert len(covered) > 20 and len(whole) > 3 and len(got) < 3 * len(covered)
+    # passages in which no whole block lies have no factor, only windows
+    assert len(covered) > 10 and len(whole) > 3 and len(got) < 3 * len(covered)
     assert substrings.factors(docs.limit(0)).count() == 0
 
 

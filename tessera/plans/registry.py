@@ -239,7 +239,18 @@ def chunks_fixed(spark, sf_dir):
     return rows.select("doc", "chunk_id", "chunk_index", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_chars").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+# an end moves to the nearest sentence end within 40 characters, else to the nearest blank; ties go to the lower place
+_NEAREST_PLACE = "list_min(list_transform(list_filter(range(lo, hi{less}), lambda i: {is_one}), lambda i: abs(i {one} - raw) * 1000000 + i + 1)) % 1000000"
+
+
+@query(f"""WITH base AS (SELECT doc_id AS doc, text, length(text) AS n, CAST(unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 500) / 400) AS BIGINT)) * 400, 400)) AS BIGINT) AS s FROM documents WHERE length(text) > 0),
+cut AS (SELECT *, least(s + 500, n) AS raw FROM base), around AS (SELECT *, greatest(raw - 40, 0) AS lo, least(raw + 40, n) AS hi FROM cut),
+ends AS (SELECT *, CASE WHEN raw >= n THEN n ELSE coalesce({_NEAREST_PLACE.format(less=" - 1", one="+ 1", is_one="substr(text, i + 1, 1) IN ('.', '!', '?') AND regexp_matches(substr(text, i + 2, 1), '^[[:space:]]$')")},
+  {_NEAREST_PLACE.format(less="", one="", is_one="regexp_matches(substr(text, i + 1, 1), '^[[:space:]]$')")}, raw) END AS e FROM around),
+kept AS (SELECT * FROM (SELECT *, min(CASE WHEN e >= n THEN s END) OVER (PARTITION BY doc) AS first FROM ends) WHERE first IS NULL OR s <= first),
+bodies AS (SELECT doc, s, e, substr(text, s + 1, e - s) AS body FROM kept WHERE length(trim(substr(text, s + 1, e - s))) >= 50),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY s, e) - 1 AS INTEGER) AS k FROM bodies)
+SELECT doc, doc || '::fixed::' || lpad(CAST(k AS VARCHAR), 4, '0') AS chunk_id, k AS chunk_index, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", CAST(length(body) AS INTEGER) AS n_chars, 'fixed' AS strategy, body AS text FROM numbered""")
 def chunks_snapped(spark, sf_dir):
     """CHK3."""
     return chunking.chunk_fixed(tpch.docs(spark, sf_dir), snap=True)
@@ -738,7 +749,11 @@ def pending_documents(spark, sf_dir):
     return corpus.pending(_manifest(spark, sf_dir), "domain").select("doc_id", "status")
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id AS ord, url, sha256(html) AS sha256, strlen(html) AS n_bytes FROM pages WHERE html IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id) = 1),
+b AS (SELECT *, trim(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^ ._0-9A-Za-z-]+', '_', 'g'), '._') AS clean FROM u),
+f AS (SELECT *, CASE WHEN lower(clean) LIKE '%.pdf' THEN clean ELSE clean || '.pdf' END AS base FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS k FROM f)
+SELECT substring(sha256, 1, 12) AS doc_id, CASE WHEN k = 1 THEN base ELSE regexp_replace(base, '(?i)\.pdf$', '') || '-' || k || '.pdf' END AS filename, url AS original_name, sha256, n_bytes,
+  0 AS n_pages, 0 AS n_chunks, 0 AS n_triples, 'pending' AS status, CAST(NULL AS VARCHAR) AS error FROM n""")
 def upload_names(spark, sf_dir):
     """WSP1, WSP2: safe, unique filenames of page URLs."""
     ups = table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("payload"), F.col("url").alias("original_name"), F.col("page_id").alias("ord"))

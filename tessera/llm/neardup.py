@@ -145,29 +145,39 @@ def _met(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, name: str, families: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+GROUP = ["big", "g", "lo", "hi"]
 
-    Sets don't travel with pairs but with blocks: the members of a family (a component of the candidate pairs, or what
-    families (id, component) says, if it is known that no pair is of two) are dealt into blocks of about BLOCK shingles, small families share a block, and the pairs of two blocks are one group,
-    to which each set goes once. So a set is sent once per block of its family, not once per pair.
+
+def _dealt(families: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """id -> big, g, block of the members of families (id, component).
+
+    Sets don't travel with pairs but with blocks: a family's members are dealt into blocks of about BLOCK shingles,
+    small families share a block, and the pairs of two blocks are one group, to which each set goes once. So a set is
+    sent once per block of its family, not once per pair.
     """
-    pairs = materialise(pairs, f"pairs-{name}")
-    families = components(pairs) if families is None else families
     member = families.join(sizes, "id")
     weight = member.groupBy("component").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
     small = weight.filter("blocks = 1").agg(F.sum("w")).first()[0] or 0
     packs = max(1, int(small // BLOCK))
     member = member.join(weight, "component").select("id", (F.col("blocks") > 1).alias("big"), F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs))).alias("g"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    member = materialise(member, f"blocks-{name}")
+    return materialise(member, f"blocks-{name}")
+
+
+def _settled(grouped: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Of the pairs (a, b, and their group), those with 100 * intersection >= percent * union of their full sets."""
+    grouped = materialise(grouped, f"grouped-{name}")
+    wanted = grouped.select(*GROUP, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(*[F.col(g).alias(f"of_{g}") for g in GROUP], "id", "hashes")
+    met = grouped.groupBy(*GROUP).cogroup(wanted.groupBy(*[f"of_{g}" for g in GROUP])).applyInArrow(_met(percent), "a long, b long")
+    return materialise(met, f"links-{name}")
+
+
+def _confirm(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Of the distinct pairs (a, b), those that reach the threshold; families are the components of the pairs."""
+    pairs = materialise(pairs, f"pairs-{name}")
+    member = _dealt(components(pairs), sizes, name)
     other = member.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
     grouped = pairs.join(member.withColumnRenamed("id", "a"), "a").join(other, "b").select("a", "b", "big", "g", F.least("block", "block_b").alias("lo"), F.greatest("block", "block_b").alias("hi"))
-    grouped = materialise(grouped, f"grouped-{name}")
-    group = ["big", "g", "lo", "hi"]
-    wanted = grouped.select(*group, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(*[F.col(g).alias(f"of_{g}") for g in group], "id", "hashes")
-    kind = pairs.schema["a"].dataType.simpleString()
-    met = grouped.groupBy(*group).cogroup(wanted.groupBy(*[f"of_{g}" for g in group])).applyInArrow(_met(percent), f"a {kind}, b {kind}")
-    return materialise(met.distinct(), f"links-{name}")
+    return _settled(grouped, sets, percent, name)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
@@ -213,12 +223,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_li
     columns = ["doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("class"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")]
     if not count_links:
         return rows.select(*columns)
-    # pairs inside a class, as far as no step has confirmed them, each under the first key that both share
-    info = nodes.select("id", "n", *SIGNATURE)
-    joined = materialise(members.select("key", "id").join(final, "id").join(info, "id"), "inside")
-    half = lambda p, name: joined.select("key", "component", F.col("id").alias(name), F.col("n").alias(p + "n"), *[F.col(s).alias(p + s) for s in SIGNATURE])
+    # all pairs inside a class, each under the first key that both share; the class is the family
+    joined = members.select("key", "id").join(_dealt(final, sizes, "inside"), "id").join(nodes.select("id", "n", *SIGNATURE), "id")
+    joined = materialise(joined.join(final, "id"), "inside")
+    half = lambda p, name: joined.select("key", "component", *["big", "g"] * (name == "a"), F.col("id").alias(name), F.col("n").alias(p + "n"), F.col("block").alias(p + "block"), *[F.col(s).alias(p + s) for s in SIGNATURE])
     first = F.coalesce(*[F.when(F.col("a_" + s).bitwiseAND(m) == F.col("b_" + s).bitwiseAND(m), F.xxhash64(F.lit(i), F.col("a_" + s).bitwiseAND(m))) for i, s, m in places])
-    inside = half("a_", "a").join(half("b_", "b"), ["key", "component"]).filter((F.col("a") < F.col("b")) & (F.col("key") == first) & _possible(percent)).select("a", "b")
-    rest = _confirm(inside.join(every, ["a", "b"], "left_anti"), sizes, sets, percent, "inside", final)
-    degree = every.unionByName(rest).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    inside = half("a_", "a").join(half("b_", "b"), ["key", "component"]).filter((F.col("a") < F.col("b")) & (F.col("key") == first) & _possible(percent))
+    inside = inside.select("a", "b", "big", "g", F.least("a_block", "b_block").alias("lo"), F.greatest("a_block", "b_block").alias("hi"))
+    degree = _settled(inside, sets, percent, "inside").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return rows.join(degree, "id", "left").select(*columns, F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at once; a longer single text is taken whole.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _table(pattern_out: list[tuple[int, int]]) -> np.ndarray:

@@ -188,9 +188,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, count_li
     members = materialise(entered.join(leads, "key"), "members")
     sizes = nodes.select("id", "n")
     # the sets of all that share a key with another: the only time that texts are shuffled
-    own = members.select("id").distinct().join(nodes.select("id", "rep.doc_id", "rep.key"), "id").alias("r")
-    own = own.join(texts.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.key") == F.col("t.key"))).select("id", "text")
-    sets = materialise(own.mapInArrow(_sets(width), "id long, hashes array<long>").dropDuplicates(["id"]), "sets")
+    named = lambda d: F.coalesce(F.col(d).cast("string"), F.lit("")).alias("d")  # noqa: E731  a set is its text's, whichever id '' stands for
+    own = members.select("id").distinct().join(nodes.select("id", "rep.doc_id", "rep.key"), "id").select(named("doc_id"), "key", "id")
+    # repeated rows go where the join has brought them together
+    own = own.join(texts.select(named("doc_id"), "key", "text"), ["d", "key"]).dropDuplicates(["d", "key"]).select("id", "text")
+    sets = materialise(own.mapInArrow(_sets(width), "id long, hashes array<long>"), "sets")
     star = members.filter("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("b_n")), "b").filter(_possible(percent)).select("a", "b")
     links = _confirm(star, sizes, sets, percent, "star")

@@ -384,6 +384,50 @@ def test_families_larger_than_a_block(docs, rows, monkeypatch):
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in neardup.near_duplicates(docs, 3, 85).collect())
 
 
+def test_resembling_texts_make_no_pairs(spark, monkeypatch):
+    """Texts that all meet under keys, near the threshold: no table that is written grows with their pairs."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for j in rng.sample(range(300), 6 + i % 6):
+            own[j] = f"x{i}.{j}"
+        rows.append((i, " ".join(own)))
+    written, write = [], neardup.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert len(got) == 240 and max(written) <= neardup.COMPONENTS * 240 < 240 * 239 / 2
+
+
+@pytest.mark.parametrize("sparse", [1, 10**9])
+def test_links_between_blocks_of_all_sizes(spark, monkeypatch, sparse):
+    """Beginnings of one text, from 3 words to 400, some changed: families of many buckets and blocks, counted pair by pair and by matrices."""
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    monkeypatch.setattr(neardup, "ROWS", 7)
+    monkeypatch.setattr(neardup, "CELLS", 500)
+    monkeypatch.setattr(neardup, "SPARSE", sparse)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i, n in enumerate(list(range(3, 30)) + list(range(30, 400, 6))):
+        own = base[:n]
+        if i % 3 == 0:
+            own[rng.randrange(n)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    links = [sum(100 * len(a & b) >= 85 * len(a | b) for b in sets) - 1 for a in sets]
+    classes = classes_of(rows, 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == {i: (*classes[i], links[i]) for i, _ in rows} and sum(links) > 200
+
+
 def test_quality_rules(spark, docs, empty):
     base = docs.filter("doc_id < 150").select("doc_id", "text", "lang", "source", "n_chars", "rank", "key")
     junk = base.withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.upper(F.concat("text", F.lit(" !! ## !! ##"))))

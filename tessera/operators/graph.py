@@ -6,14 +6,23 @@ state with checkpoint(), so a lost executor costs a re-read; the frontier, not t
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
-from ..functions.udfs import lookup_score, ratio
+from ..functions.udfs import ratio, ship, weighted_ratio
+
+ship(__name__)
 
 EDGE = ["src", "dst", "relation", "source_file", "page", "sentence", "extractor", "ord"]
 
@@ -37,13 +46,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_made: list[str] = []
+
+
+def _remove() -> None:
+    spark = SparkSession.getActiveSession()
+    for uri in _made if spark else []:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session may be gone by then; the folder is scratch space
+            return
+
+
+atexit.register(_remove)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, for tables of the graph's size that are read more than once: computed once (a
+    checkpoint computes its last stage twice), and of its columns only those asked for are read. Removed when the driver ends."""
+    uri = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
+    _made.append(uri)
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
 # Building
 
 
 def valid_triples(triples: DataFrame) -> DataFrame:
-    """FLT11 on both ends, with their keys."""
-    keyed = triples.filter(t.is_valid_entity(F.col("subject")) & t.is_valid_entity(F.col("object")))
-    return keyed.withColumn("s_key", t.normalise_entity(F.col("subject"))).withColumn("o_key", t.normalise_entity(F.col("object")))
+    """FLT11 on both ends, with their keys; triples may have these already (s_key, o_key; null where not valid)."""
+    if "s_key" not in triples.columns:
+        triples = triples.withColumn("s_key", t.valid_entity_key(F.col("subject"))).withColumn("o_key", t.valid_entity_key(F.col("object")))
+    return triples.filter("s_key is not null and o_key is not null")
 
 
 def endpoints(valid: DataFrame) -> DataFrame:
@@ -57,17 +92,14 @@ def entity_counts(valid: DataFrame) -> DataFrame:
     return endpoints(valid).groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
-def display_names(valid: DataFrame, canon: DataFrame) -> DataFrame:
-    """AGG3: the most frequent spelling of each canonical entity, the first seen on ties. Two aggregations, no sort."""
-    by = endpoints(valid).join(canon, "key").groupBy("canonical", "name").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+def display_names(valid: DataFrame, canon: DataFrame | None = None) -> DataFrame:
+    """AGG3: the most frequent spelling of each canonical entity, the first seen on ties. Two aggregations, no sort. Without canon, each key stands for itself."""
+    ends = endpoints(valid)
+    ends = ends.withColumn("canonical", F.col("key")) if canon is None else ends.join(canon, "key")
+    by = ends.groupBy("canonical", "name").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     return by.groupBy("canonical").agg(F.max_by("name", F.struct("n", -F.col("first"))).alias("name"))
 
 
-def identity_canon(valid: DataFrame) -> DataFrame:
-    """Canonical map without merging: each key stands for itself."""
-    return endpoints(valid).select("key").distinct().withColumn("canonical", F.col("key"))
-
-
 def _character_bound(a: Column, b: Column) -> Column:
     """Characters that both keys have, with repeats: no common subsequence is longer."""
     shared = F.lit(0)
@@ -172,19 +204,37 @@ def variant_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, "stem").filter((F.col("a") < F.col("b")) & ~F.col("va").eqNullSafe(F.col("vb"))).select("a", "b")
 
 
-def edges_of(valid: DataFrame, canon: DataFrame) -> DataFrame:
-    """JOIN3, FLT12: triples on canonical keys, without self-loops."""
-    m = canon.select(F.col("key").alias("s_key"), F.col("canonical").alias("src"))
-    n = canon.select(F.col("key").alias("o_key"), F.col("canonical").alias("dst"))
-    return valid.join(m, "s_key").join(n, "o_key").filter("src <> dst").select(*EDGE, "subject", "object")
+#: Keys that a join may send to all executors.
+BROADCAST_KEYS = 500_000
 
 
-def nodes_of(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """AGG4: key, name, aliases, mentions, sources, from the ends of edges (self-loops are gone by then)."""
-    ends = F.array(F.struct(F.col("src").alias("key"), F.col("subject").alias("alias")), F.struct(F.col("dst").alias("key"), F.col("object").alias("alias")))
-    by = edges.select("source_file", "ord", F.explode(ends).alias("e")).groupBy(F.col("e.key").alias("key"))
-    grouped = by.agg(F.sort_array(F.collect_set("e.alias")).alias("aliases"), F.count("*").alias("mentions"), F.sort_array(F.collect_set("source_file")).alias("sources"), F.min("ord").alias("ord"))
-    return grouped.join(names.withColumnRenamed("canonical", "key"), "key", "left").select("key", F.coalesce("name", "key").alias("name"), "aliases", "mentions", "sources", "ord")
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are few. Joins with tables of the graph's size would else shuffle these, as nothing is known of a checkpoint's size."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def on_canonical(valid: DataFrame, canon: DataFrame) -> DataFrame:
+    """JOIN3: triples with their canonical keys src and dst, self-loops included. Only keys that aren't their own canonical ones take part in a join."""
+    moved = _small(checkpointed(canon.filter("key <> canonical")))
+    src = moved.select(F.col("key").alias("s_key"), F.col("canonical").alias("src"))
+    dst = moved.select(F.col("key").alias("o_key"), F.col("canonical").alias("dst"))
+    return valid.join(src, "s_key", "left").join(dst, "o_key", "left").withColumns({"src": F.coalesce("src", "s_key"), "dst": F.coalesce("dst", "o_key")})
+
+
+def nodes_of(triples: DataFrame) -> DataFrame:
+    """AGG3, AGG4: key, name, aliases, mentions, sources, ord of the nodes of triples with canonical keys (src, dst).
+
+    Self-loops (FLT12) count for the name only, as in display_names. The triples are read once: all else is made from
+    what they add up to by key, name and file.
+    """
+    edge = F.col("src") != F.col("dst")
+    ends = F.array(F.struct(F.col("src").alias("key"), F.col("subject").alias("name"), (F.col("ord") * 2).alias("at")), F.struct(F.col("dst").alias("key"), F.col("object").alias("name"), (F.col("ord") * 2 + 1).alias("at")))
+    rows = triples.select("source_file", F.when(edge, F.col("ord")).alias("ord"), edge.alias("edge"), F.explode(ends).alias("e")).select("e.key", "e.name", "e.at", "source_file", "ord", "edge")
+    tally = rows.groupBy("key", "name", "source_file").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.count_if("edge").alias("m"), F.min("ord").alias("ord"))
+    by = tally.groupBy("key", "name").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("m").alias("m"), F.min("ord").alias("ord"), F.collect_set(F.when(F.col("m") > 0, F.col("source_file"))).alias("sources"))
+    best = F.max_by("name", F.struct("n", -F.col("first"))).alias("name")
+    node = by.groupBy("key").agg(best, F.sort_array(F.collect_set(F.when(F.col("m") > 0, F.col("name")))).alias("aliases"), F.sum("m").alias("mentions"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.min("ord").alias("ord"))
+    return node.filter("mentions > 0").select("key", "name", "aliases", "mentions", "sources", "ord")
 
 
 def build(triples: DataFrame, merge: bool = True, variants: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -193,14 +243,17 @@ def build(triples: DataFrame, merge: bool = True, variants: bool = True) -> tupl
     All pairs of a stem are linked, so what a stem of very many versions gives is quadratic in their number, by
     definition; variants=False leaves these edges out.
     """
-    valid = checkpointed(valid_triples(triples))
-    canon = checkpointed(canonicalise(entity_counts(valid)) if merge else identity_canon(valid))
-    edges = edges_of(valid, canon)
-    nodes = nodes_of(edges, display_names(valid, canon))
+    valid = materialised(valid_triples(triples))
+    if merge:
+        canon = checkpointed(canonicalise(entity_counts(valid)))
+        placed = on_canonical(valid, canon)
+    else:
+        placed = valid.withColumnsRenamed({"s_key": "src", "o_key": "dst"})
+    nodes, edges = nodes_of(placed), placed.filter("src <> dst")
     if not variants:
         return nodes, edges.select(*EDGE)
-    have = nodes.select("key")
-    pairs = variant_pairs(canon).join(have.withColumnRenamed("key", "a"), "a", "left_semi").join(have.withColumnRenamed("key", "b"), "b", "left_semi")
+    have = checkpointed(nodes.select("key"))
+    pairs = variant_pairs(have.withColumnRenamed("key", "canonical")).join(have.withColumnRenamed("key", "a"), "a", "left_semi").join(have.withColumnRenamed("key", "b"), "b", "left_semi")
     last = F.lit(2**40)
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
     variants = both.select("e.src", "e.dst", F.lit("variant_of").alias("relation"), F.lit("(entity resolution)").alias("source_file"), F.lit(0).alias("page"), F.lit("").alias("sentence"), F.lit("resolution").alias("extractor"), (last + F.pmod(F.xxhash64("e.src", "e.dst"), F.lit(2**40))).alias("ord"))
@@ -222,6 +275,13 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(m, F.lit(True)).withColumn("density", F.when(F.col("n_nodes") > 1, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
 
 
+def stats_of_edges(edges: DataFrame) -> DataFrame:
+    """stats() of edges and the nodes at their ends, which reads the edges once."""
+    by = edges.select(F.explode(F.array("src", "dst")).alias("key"), "relation").groupBy("key", "relation").agg(F.count("*").alias("n"))
+    total = by.agg(F.countDistinct("key").alias("n_nodes"), (F.coalesce(F.sum("n"), F.lit(0)) / 2).cast("long").alias("n_edges"), F.countDistinct("relation").alias("n_relations"))
+    return total.withColumn("density", F.when(F.col("n_nodes") > 1, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """AGG18: key, component (its least key) of weakly connected nodes, from pairs (a, b). Least labels with pointer jumping."""
     both = checkpointed(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -257,15 +317,16 @@ NAME_TYPE = [
 
 def entity_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRA11, AGG15: key, type by votes of relations and name; CONCEPT where nothing votes; ties to what voted first."""
-    def votes(end: str, table: dict[str, tuple[str, ...]], weight: int, base: int) -> DataFrame:
+    def votes(end: str, table: dict[str, tuple[str, ...]], weight: int, base: int) -> Column:
         kind = F.lit(None).cast("string")
         for k, relations in table.items():
             kind = F.when(F.col("relation").isin(list(relations)), F.lit(k)).otherwise(kind)
-        return edges.select(F.col(end).alias("key"), kind.alias("type"), F.lit(weight).alias("w"), (F.lit(base) * F.lit(2**50) + F.col("ord")).alias("at"))
+        return F.struct(F.col(end).alias("key"), kind.alias("type"), F.lit(weight).alias("w"), (F.lit(base) * F.lit(2**50) + F.col("ord")).alias("at"))
 
-    every = votes("src", SUBJECT_TYPE, 2, 0).unionByName(votes("dst", OBJECT_TYPE, 2, 1)).unionByName(votes("dst", {"MODEL": PROPOSED}, 1, 1))
-    for i, (kind, weight, pattern) in enumerate(NAME_TYPE):
-        every = every.unionByName(nodes.filter(F.col("name").rlike(pattern)).select("key", F.lit(kind).alias("type"), F.lit(weight).alias("w"), F.lit((2 + i) * 2**50).alias("at")))
+    telling = [r for table in (SUBJECT_TYPE, OBJECT_TYPE, {"MODEL": PROPOSED}) for relations in table.values() for r in relations]
+    said = F.array(votes("src", SUBJECT_TYPE, 2, 0), votes("dst", OBJECT_TYPE, 2, 1), votes("dst", {"MODEL": PROPOSED}, 1, 1))
+    named = F.array(*[F.struct(F.col("key"), F.when(F.col("name").rlike(pattern), F.lit(kind)).alias("type"), F.lit(weight).alias("w"), F.lit((2 + i) * 2**50).alias("at")) for i, (kind, weight, pattern) in enumerate(NAME_TYPE)])
+    every = edges.filter(F.col("relation").isin(telling)).select(F.explode(said).alias("v")).select("v.*").unionByName(nodes.select(F.explode(named).alias("v")).select("v.*"))
     tally = every.filter("type is not null").groupBy("key", "type").agg(F.sum("w").alias("w"), F.min("at").alias("at"))
     best = tally.groupBy("key").agg(F.max_by("type", F.struct("w", -F.col("at"))).alias("type"))
     return nodes.select("key").join(best, "key", "left").select("key", F.coalesce("type", F.lit("CONCEPT")).alias("type"))
@@ -300,24 +361,66 @@ def lookup(mentions: DataFrame, nodes: DataFrame, least: float = 80.0, fuzzy: bo
     return found.unionByName(best)
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each text has each of _CHARACTERS, and any other (last column)."""
+    raw = [x.encode() for x in texts]
+    size = np.array([len(x) for x in raw], "int64")
+    flat = np.frombuffer(b"".join(raw), "uint8")
+    kind = _KIND[flat]
+    row = np.repeat(np.arange(len(raw)), size)[kind >= 0]
+    return np.bincount(row * (len(_CHARACTERS) + 1) + kind[kind >= 0], minlength=len(raw) * (len(_CHARACTERS) + 1)).reshape(len(raw), -1).clip(max=2**15 - 1).astype("int16")
+
+
+_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 -"
+_KIND = np.full(256, len(_CHARACTERS), "int64")
+_KIND[[ord(c) for c in _CHARACTERS]] = np.arange(len(_CHARACTERS))
+_KIND[0x80:0xC0] = -1  # the rest of a character of more than one byte
+
+
+def _alike(asked: Broadcast, least: float, schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mention, q = asked.value
+        counts, length = _letters(q), np.array([len(x) for x in q])
+        by_word: dict[str, list[int]] = {}
+        for i, x in enumerate(q):
+            for w in set(x.split(" ")):
+                by_word.setdefault(w, []).append(i)
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            own, size = _letters([k or "" for k in keys]), np.array([len(k or "") for k in keys])
+            meet = [[i for w in set((k or "").split(" ")) if w in by_word for i in by_word[w]] for k in keys]
+            word = np.repeat(np.arange(len(keys)), [len(m) for m in meet]), np.array([i for m in meet for i in m], "int64")
+            found: list[tuple[int, int, float]] = []
+            for i in range(len(q)):
+                both = np.minimum(own, counts[i]).sum(1, dtype="int64")
+                short, long = np.minimum(size, length[i]), np.maximum(size, length[i])
+                # plain and sorted-token ratios; a part of the longer one (0.9 of its ratio at most); a shared word
+                may = (both * 200 >= (size + length[i]) * least) | ((long >= short * 1.5) & (both * 100 >= short * (least / 0.9)))
+                may[word[0][word[1] == i]] = True
+                found += [(n, i, s) for n in np.flatnonzero(may) if keys[n] is not None and (s := weighted_ratio(q[i], keys[n])) >= least]
+            if found:
+                n, i, s = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array([mention[j] for j in i], pa.string()), batch.column("key").take(pa.array(n)), batch.column("ord").take(pa.array(n)), pa.array(s, pa.float64())], names=schema.names)
+
+    return run
+
+
 def similar(mentions: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """mention, key, ord, score of all nodes (key, ord) whose lenient score reaches `least`, for a stated set of mentions (mention, q).
 
-    Exhaustive, in blocks of MENTION_BLOCK mentions; a node meets the scoring function only if both have the characters
-    or a word in common without which no part of the score can reach `least`.
+    Exhaustive, in blocks of MENTION_BLOCK mentions, which go to all nodes; a node is scored only if both have the
+    characters or a word in common without which no part of the score can reach `least`. Characters are counted once a
+    node and compared as arrays.
     """
     blocks = max(1, -(-mentions.count() // MENTION_BLOCK))
-    la, lb = F.length("q"), F.length("key")
-    both, short = _character_bound(F.col("q"), F.col("key")), F.least(la, lb)
-    words = F.arrays_overlap(F.split("q", " "), F.split("key", " "))
-    # plain and sorted-token ratios; a shared word; a part of the longer one (0.9 of its ratio at most)
-    may = (both * 200 >= (la + lb) * least) | words | ((F.greatest(la, lb) >= short * 1.5) & (both * 100 >= short * (least / 0.9)))
     found = None
     # a small table of nodes would else be scored by one task
     nodes = nodes.select("key", "ord").repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism)
+    kind = T.StructType([T.StructField("mention", T.StringType()), T.StructField("key", T.StringType()), T.StructField("ord", nodes.schema["ord"].dataType), T.StructField("score", T.DoubleType())])
     for b in range(blocks):
-        own = mentions.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b).select("mention", "q")
-        scored = nodes.join(F.broadcast(own), may).withColumn("score", lookup_score("q", "key")).filter(F.col("score") >= least).select("mention", "key", "ord", "score")
+        own = mentions.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b).filter("q is not null").select("mention", "q").collect()
+        sent = nodes.sparkSession.sparkContext.broadcast(([r[0] for r in own], [r[1] for r in own]))
+        scored = nodes.mapInArrow(_alike(sent, least, kind), kind)
         found = scored if found is None else found.unionByName(scored)
     return found
 
@@ -346,7 +449,8 @@ def neighbours(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 2
     done = starts.select("start").withColumn("done", F.lit(0).cast("long")).limit(0)
     found: DataFrame | None = None
     for hop in range(1, hops + 1):
-        reach = front.join(adj, "node").join(visited.select("start", F.col("node").alias("nbr")), ["start", "nbr"], "left_anti")
+        near = adj.join(_small(front.select("node").distinct()), "node", "left_semi")
+        reach = front.join(near, "node").join(visited.select("start", F.col("node").alias("nbr")), ["start", "nbr"], "left_anti")
         pair = Window.partitionBy("start", "node", "nbr", "dir")
         reach = reach.withColumn("pair_ord", F.min("ord").over(pair))
         # the winning (parent, direction) of each new node: an aggregation, then its rows

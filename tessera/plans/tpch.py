@@ -5,27 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
+
+#: Rows of lineitem that one task makes distinct, at most, whatever AQE would put together.
+SOLD_ROWS = 400_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def triples(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
-    """nation - part_of - region, supplier / customer - located_in - nation, supplier - supplies - part."""
-    nation = table(spark, sf_dir, "nation")
-    region = table(spark, sf_dir, "region")
+def triples(spark: SparkSession, sf_dir: str, parts: bool = True, plural: bool = False) -> DataFrame:
+    """nation - part_of - region, supplier / customer - located_in - nation, supplier - supplies - part; plural: the parts of every tenth supplier in the plural.
+
+    Names get their keys (s_key, o_key; null where they could be no node) in the tables that have them, not in every triple.
+    """
+
+    def named(df: DataFrame, *names: str) -> DataFrame:
+        return df.withColumns({f"{n}_as": t.valid_entity_key(F.col(n)) for n in names})
+
+    nation = named(table(spark, sf_dir, "nation"), "n_name")
+    region = named(table(spark, sf_dir, "region"), "r_name")
+    suppliers = named(table(spark, sf_dir, "supplier"), "s_name")
 
     def rows(df: DataFrame, s: str, r: str, o: str, file: str, order: str) -> DataFrame:
-        return df.select(F.col(s).alias("subject"), F.lit(r).alias("relation"), F.col(o).alias("object"), F.lit(file).alias("source_file"), F.lit(1).alias("page"), F.lit("").alias("sentence"), F.lit("domain").alias("extractor"), F.expr(order).cast("long").alias("ord"))
+        return df.select(F.col(s).alias("subject"), F.lit(r).alias("relation"), F.col(o).alias("object"), F.lit(file).alias("source_file"), F.lit(1).alias("page"), F.lit("").alias("sentence"), F.lit("domain").alias("extractor"), F.expr(order).cast("long").alias("ord"), F.col(f"{s}_as").alias("s_key"), F.col(f"{o}_as").alias("o_key"))
 
     out = rows(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "part_of", "r_name", "nation", "n_nationkey")
-    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    supplier = suppliers.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    customer = named(table(spark, sf_dir, "customer"), "c_name").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     out = out.unionByName(rows(supplier, "s_name", "located_in", "n_name", "supplier", "1000 + s_suppkey")).unionByName(rows(customer, "c_name", "located_in", "n_name", "customer", "1000000000 + c_custkey"))
     if parts:
-        sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-        named = sold.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        out = out.unionByName(rows(named, "s_name", "supplies", "p_name", "lineitem", "1000000000000 + l_suppkey * 1000000000 + l_partkey"))
+        part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+        part = named(part.withColumn("p_names", F.concat("p_name", F.lit("s"))), "p_name", "p_names") if plural else named(part, "p_name")
+        # one shuffle by the part serves both distinct() and the join with the parts; its partitions don't grow with the table
+        sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sold.count() // SOLD_ROWS))
+        sold = sold.filter("l_suppkey is not null and l_partkey is not null").repartition(n, "l_partkey").distinct()
+        pair = sold.join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        if plural:
+            tenth = F.expr("(l_suppkey * 1000000000 + l_partkey) div 1000000000 % 10 = 9")
+            pair = pair.withColumns({c: F.when(tenth, F.col(c.replace("name", "names"))).otherwise(F.col(c)) for c in ("p_name", "p_name_as")})
+        out = out.unionByName(rows(pair, "s_name", "supplies", "p_name", "lineitem", "1000000000000 + l_suppkey * 1000000000 + l_partkey"))
     return out
 
 

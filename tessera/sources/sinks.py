@@ -32,7 +32,8 @@ def replace_rows(rows: DataFrame, path: str, key: str, keys: DataFrame | None =
         new = old.select(*new.columns).unionByName(new)
     # buckets that are to be empty have no rows to overwrite them
     left = {r[0] for r in new.select("bucket").distinct().collect()}
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # a bucket of many rows (one key may have most of them) is written by several tasks, small ones by one
+    new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for b in set(touched) - left:
         _delete(spark, f"{path}/bucket={b}")
 
@@ -69,9 +70,9 @@ def not_extracted(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
 
 def save_manifest(manifest: DataFrame, path: str) -> None:
-    """SNK6: JSON lines, one file per write, made beside the old one and then put in its place, so that a manifest may be made from the one that it replaces."""
+    """SNK6: JSON lines, made beside the old ones and then put in their place, so that a manifest may be made from the one that it replaces. A small manifest is one file; no task writes all of a large one."""
     spark = manifest.sparkSession
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}.next")
+    manifest.hint("rebalance").write.mode("overwrite").json(f"{path}.next")
     new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.next", path))
     files = old.getFileSystem(spark._jsc.hadoopConfiguration())
     files.delete(old, True)

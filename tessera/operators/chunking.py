@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import HEADINGS
-from ..functions.udfs import sentences as split_sentences
-from ..functions.udfs import ship, snapped
+from ..functions.udfs import sentence_spans, ship, snapped
 
 ship(__name__)
 
@@ -33,25 +34,52 @@ def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, snap:
     step = size - overlap
     n = F.length("text")
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int") * step
-    rows = docs.filter(n > 0).select("doc", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("start"))
-    rows = rows.withColumn("raw", F.least(F.col("start") + size, F.col("n")))
     if snap:
-        # only 80 characters around the cut go to Python
-        lo = F.greatest(F.col("raw") - 40, F.lit(0))
-        near = F.col("text").substr(lo + 1, F.least(F.col("raw") + 41, F.col("n")) - lo)
-        rows = rows.withColumn("end", F.when(F.col("raw") >= F.col("n"), F.col("n")).otherwise(lo + _snap(near, F.col("raw") - lo)))
+        rows = _by_document(docs.filter(n > 0), _snapped_windows(size, step), [("start", T.IntegerType()), ("end", T.IntegerType()), ("done", T.BooleanType()), ("text", T.StringType())])
         # the reference loop stops at the first end that reaches the end of the text
-        first = F.min(F.when(F.col("end") >= F.col("n"), F.col("start"))).over(Window.partitionBy("doc"))
-        rows = rows.withColumn("first", first).filter(F.col("first").isNull() | (F.col("start") <= F.col("first")))
-    else:
-        rows = rows.withColumn("end", F.col("raw"))
+        first = F.min(F.when(F.col("done"), F.col("start"))).over(Window.partitionBy("doc"))
+        cut = rows.withColumn("first", first).filter(F.col("first").isNull() | (F.col("start") <= F.col("first"))).select("doc", "start", "end", "text")
+        return _number(cut, "fixed").select("doc", "chunk_id", "chunk_index", "start", "end", "n_chars", "strategy", "text")
+    rows = docs.filter(n > 0).select("doc", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("start"))
+    rows = rows.withColumn("end", F.least(F.col("start") + size, F.col("n")))
     cut = rows.select("doc", F.col("start").cast("int"), F.col("end").cast("int"), F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
     return _number(cut, "fixed").select("doc", "chunk_id", "chunk_index", "start", "end", "n_chars", "strategy", "text")
 
 
-@F.pandas_udf(T.IntegerType())
-def _snap(text: pd.Series, at: pd.Series) -> pd.Series:
-    return pd.Series([snapped(t, int(a)) for t, a in zip(text, at)], dtype="int32")
+#: Documents whose rows a Python worker makes at once.
+AT_ONCE = 64
+
+
+def _by_document(docs: DataFrame, make: Callable[[str], Iterable[tuple]], columns: list[tuple[str, T.DataType]]) -> DataFrame:
+    """doc and the columns of the rows that `make` gives for a text: a few documents at a time, so that a worker's memory depends on these
+    and not on how many lie in a batch; only the rows travel, not the text with each."""
+    schema = T.StructType([docs.schema["doc"], *[T.StructField(c, k) for c, k in columns]])
+    kinds = [to_arrow_type(k) for _, k in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                piece = batch.slice(i, AT_ONCE)
+                found = [(n, *row) for n, text in enumerate(piece.column("text").to_pylist()) for row in make(text or "")]
+                if found:
+                    at, *values = zip(*found)
+                    yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(at)), *[pa.array(v, k) for v, k in zip(values, kinds)]], names=schema.names)
+
+    return docs.select("doc", "text").mapInArrow(run, schema)
+
+
+def _snapped_windows(size: int, step: int) -> Callable[[str], Iterator[tuple[int, int, bool, str]]]:
+    """CHK3: start, end, whether it ends the text, text of a document's windows, up to the first that does."""
+
+    def windows(text: str) -> Iterator[tuple[int, int, bool, str]]:
+        n = len(text)
+        for start in range(0, max(0, -(-(n - size) // step)) * step + 1, step):
+            end = snapped(text, min(start + size, n))
+            yield start, end, end >= n, text[start:end]
+            if end >= n:
+                return
+
+    return windows
 
 
 def page_of(offset: Column, spans: Column) -> Column:
@@ -132,6 +160,12 @@ def chunk_corpus(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
     return chunk_fixed(docs) if strategy == "fixed" else chunk_semantic(docs)
 
 
+def _sentences(text: str) -> Iterator[tuple[int, int, int, str]]:
+    for i, (a, b) in enumerate(sentence_spans(text)):
+        yield i, a, b, text[a:b].strip()
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """CHK7: doc, sent_index, start, end, sentence."""
-    return docs.select("doc", F.posexplode(split_sentences("text")).alias("sent_index", "s")).select("doc", "sent_index", "s.start", "s.end", F.col("s.text").alias("sentence"))
+    whole = T.IntegerType()
+    return _by_document(docs.filter("text is not null"), _sentences, [("sent_index", whole), ("start", whole), ("end", whole), ("sentence", T.StringType())])

@@ -23,15 +23,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def replace_rows(rows: DataFrame, path: str, key: str, keys: DataFrame | None = None, buckets: int = BUCKETS) -> None:
     """All rows of some keys (by default, of those in rows) replaced by rows: idempotent, and no orphans stay. Only buckets with such keys are read and written."""
-    spark = rows.sparkSession
+    spark, given = rows.sparkSession, keys is not None
     keys = (rows if keys is None else keys).select(key).distinct()
     new = rows.withColumn("bucket", _bucket(key, buckets))
     touched = [r[0] for r in keys.select(_bucket(key, buckets).alias("b")).distinct().collect()]  # `buckets` numbers at most
     if exists(spark, path):
         old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).join(keys, key, "left_anti")
         new = old.select(*new.columns).unionByName(new)
-    # buckets that are to be empty have no rows to overwrite them
-    left = {r[0] for r in new.select("bucket").distinct().collect()}
+    # buckets that are to be empty have no rows to overwrite them; without `keys`, each touched one has
+    left = {r[0] for r in new.select("bucket").distinct().collect()} if given else set(touched)
     # a bucket of many rows (one key may have most of them) is written by several tasks, small ones by one
     new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for b in set(touched) - left:
